@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from recolink.llm import exact_dedup
+from recolink.llm import bpe, exact_dedup, packing, warc
 from recolink.llm.shared import table
 
 QUERIES: dict = {}
@@ -33,3 +34,22 @@ def op1(spark, sf_dir):
         F.col("__id").alias("doc_id"), F.col("__keep").alias("keep_id"), F.col("__size").cast("long").alias("group_size"),
         F.col("__id").eqNullSafe(F.col("__keep")).alias("kept"), F.col("__digest").alias("text_sha256"),
     )
+
+
+@query("op3_warc")
+def op3(spark, sf_dir):
+    """pages written to WARC archives, normalised to one member per record, and read back by the index."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op4_byte_bpe")
+def op4(spark, sf_dir):
+    """Ids of every document by the 50k ranks, as digests, and the digest of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op6_best_fit_packing")
+def op6(spark, sf_dir):
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
