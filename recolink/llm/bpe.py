@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recolink.llm.chunked import ChunkCache
+
 #: A byte prefix longer than this is coded in an array of its own instead of the shared memo.
 MEMO_BYTES = 40
 #: Entries of the memo and of the chunk cache after which each starts afresh; bounds a worker's memory.
@@ -158,35 +160,19 @@ class Encoding:
         return out[::-1]
 
 
-def chunks(text: str, cut=regex.compile(r"(?= \S)")) -> list[str]:
-    """Cut a text before every blank that precedes a non-blank: no pre-token crosses such a place, nor looks past it."""
-    return [x for x in cut.split(text) if x] if text else []
-
-
 class CachedEncoder:
-    """Encodes texts chunk by chunk; a chunk's ids are looked up where it has been seen before."""
+    """Encodes texts chunk by chunk. A chunk's value: number of ids, the decimal ids each followed by a blank, the bytes they decode to."""
 
     def __init__(self, coder: PrefixCoder, pattern: str):
-        self.coder, self.find, self.seen = coder, regex.compile(pattern).findall, {}
-
-    def parts(self, text: str) -> list[tuple[int, bytes, bytes]]:
-        """Per chunk: number of ids, the decimal ids each followed by a blank, and the bytes the ids decode to."""
-        seen = self.seen
-        if len(seen) > CHUNK_ENTRIES:
-            seen.clear()
-        out = list(map(seen.get, found := chunks(text)))
-        if None in out:
-            for at, got in enumerate(out):
-                if got is None:
-                    out[at] = seen.get(found[at]) or self._chunk(found[at])
-        return out
+        self.coder, self.find = coder, regex.compile(pattern).findall
+        self.cache = ChunkCache(lambda xs: list(map(self._chunk, xs)), lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), CHUNK_ENTRIES)
 
     def _chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
         ids = [i for piece in self.find(chunk) for i in self.coder.encode(piece.encode("utf-8", "surrogatepass"))]
-        got = (len(ids), b"".join(b"%d " % i for i in ids), self.coder.decode(ids))
-        if len(chunk) <= 64:
-            self.seen[chunk] = got
-        return got
+        return len(ids), b"".join(b"%d " % i for i in ids), self.coder.decode(ids)
+
+    def parts(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes]]]:
+        return self.cache.values(texts)
 
 
 _ENCODERS: dict = {}
@@ -210,8 +196,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         enc = encoder(ranks_path, pattern)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                parts = enc.parts(text or "")
+            for parts in enc.parts(batch["text"].fillna("").tolist()):
                 ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
                 if parts:
                     counts, listed, raw = zip(*parts)
@@ -233,7 +218,7 @@ def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         enc = encoder(ranks_path, pattern)
-        return texts.map(lambda t: [int(i) for _, listed, _ in enc.parts(t or "") for i in listed.split()])
+        return pd.Series([[int(i) for _, listed, _ in parts for i in listed.split()] for parts in enc.parts(texts.fillna("").tolist())])
 
     return docs.withColumn(out_col, ids(F.col(text_col).cast("string")))
 
