@@ -28,14 +28,17 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by save() that no later plan reads."""
     for table in tables:
         path = getattr(table, "_saved_at", None)
         if path:
-            jvm, jsc = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+            delete_path(table.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recolink.llm.shared import new_path, save
+from recolink.llm.shared import delete_path, new_path, save
 
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = 31
 BLOCK = 1 << 20
+#: Archives are normalised in so many steps, and a step's originals deleted after it: both forms of all never lie on disk together.
+WAVES = 4
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -96,11 +98,12 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     return rows.join(answer, ["__leaf", "__same"]).select("__id", "__url", "__payload", refers.alias("__refers_to"))
 
 
-def write_archives(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", level: int = 1) -> DataFrame:
-    """One whole-stream gzip archive per partition that has rows; returns their URIs (saved, so they are written once)."""
+def write_archives(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", level: int = 4, waves: int = WAVES) -> DataFrame:
+    """One whole-stream gzip archive per partition that has rows; returns their URIs and waves (saved, so they are written once)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uri = f"{folder}/whole-{TaskContext.get().partitionId():06d}.warc.gz"
+        number = TaskContext.get().partitionId()
+        uri = f"{folder}/{number % waves}/whole-{number:06d}.warc.gz"
         fs, path = _open(uri)
         sink, squeeze, n = None, zlib.compressobj(level, zlib.DEFLATED, GZIP), 0
         for batch in batches:
@@ -116,9 +119,9 @@ def write_archives(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:0
             sink.write(squeeze.flush())
             sink.close()
             _publish(fs, _attempt(path), path)
-            yield pd.DataFrame({"uri": [uri], "records": [n]})
+            yield pd.DataFrame({"uri": [uri], "wave": [number % waves], "records": [n]})
 
-    return save(rows.mapInPandas(run, "uri string, records long"), "archives")
+    return save(rows.mapInPandas(run, "uri string, wave long, records long"), "archives")
 
 
 class _Inflated:
@@ -190,8 +193,8 @@ class _Counted:
         return len(data)
 
 
-def normalise(archives: DataFrame, folder: str, level: int = 1) -> DataFrame:
-    """Rewrites each archive (column uri) with one member per record and a sidecar .idx; returns the index rows, saved."""
+def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
+    """Rewrites each archive (column uri) with one member per record and a sidecar .idx; returns the index rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,7 +217,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 1) -> DataFrame:
                     yield pd.DataFrame(rows, columns=["uri", "offset", "length", "type", "urn"])
 
     n = max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return save(archives.repartition(n, "uri").mapInPandas(run, "uri string, offset long, length long, type string, urn string"), "index")
+    return archives.repartition(n, "uri").mapInPandas(run, "uri string, offset long, length long, type string, urn string")
 
 
 def parse(member: bytes) -> tuple:
@@ -265,4 +268,9 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "ht
     """
     folder = new_path(pages.sparkSession, "warc")
     whole = write_archives(with_revisits(pages, id_col, payload_col, min_bytes), f"{folder}/whole")
-    return read_records(normalise(whole, f"{folder}/members"))
+    index = None
+    for wave in range(WAVES):
+        step = save(normalise(whole.where(F.col("wave") == wave), f"{folder}/members"), "index")
+        delete_path(pages.sparkSession, f"{folder}/whole/{wave}")
+        index = step if index is None else index.unionByName(step)
+    return read_records(index)
