@@ -26,8 +26,10 @@ from recolink.llm.chunked import ChunkCache
 
 #: A byte prefix longer than this is coded in an array of its own instead of the shared memo.
 MEMO_BYTES = 40
-#: Entries of the memo and of the chunk cache after which each starts afresh; bounds a worker's memory.
-MEMO_ENTRIES, CHUNK_ENTRIES = 1_200_000, 900_000
+#: Entries of the memo, and of a generation of the chunk cache, after which each starts afresh; bounds a worker's memory.
+MEMO_ENTRIES, CHUNK_ENTRIES = 600_000, 350_000
+#: Texts whose chunks are looked up together.
+TEXTS = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -171,8 +173,9 @@ class CachedEncoder:
         ids = [i for piece in self.find(chunk) for i in self.coder.encode(piece.encode("utf-8", "surrogatepass"))]
         return len(ids), b"".join(b"%d " % i for i in ids), self.coder.decode(ids)
 
-    def parts(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes]]]:
-        return self.cache.values(texts)
+    def parts(self, texts: list[str]) -> Iterator[list[tuple[int, bytes, bytes]]]:
+        for at in range(0, len(texts), TEXTS):
+            yield from self.cache.values(texts[at : at + TEXTS])
 
 
 _ENCODERS: dict = {}

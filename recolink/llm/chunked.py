@@ -35,16 +35,20 @@ def keys_of(text: str) -> list:
 
 
 class ChunkCache:
-    """encode: strings -> one value each; join: two values -> the value of the strings' concatenation."""
+    """encode: strings -> one value each; join: two values -> the value of the strings' concatenation.
+
+    Two generations of at most ``entries`` chunks each: when the young one is full it becomes the old one, whose chunks
+    move back when met again. So memory is bounded, and frequent chunks stay.
+    """
 
     def __init__(self, encode: Callable, join: Callable, entries: int):
-        self.encode, self.join, self.entries, self.seen = encode, join, entries, {}
+        self.encode, self.join, self.entries, self.seen, self.old = encode, join, entries, {}, {}
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its chunks in order; unseen chunks of all texts are encoded in one call."""
-        seen = self.seen
-        if len(seen) > self.entries:
-            seen.clear()
+        if len(self.seen) > self.entries:
+            self.old, self.seen = self.seen, {}
+        seen, old = self.seen, self.old
         out, need, waiting = [], {}, []
         for text in texts:
             keys = keys_of(text)
@@ -55,13 +59,18 @@ class ChunkCache:
                 try:
                     at = got.index(None, at + 1)
                 except ValueError:
-                    break
+                    break  # no more unseen ones in this text
                 key = word = keys[at]
+                if key in old:
+                    got[at] = seen[key] = old[key]
+                    continue
                 tail = None
                 if type(key) is str:
                     bare = key.rstrip(".,")
                     if bare and len(bare) < len(key) and bare[-1].isalpha():
                         word, tail = bare, (key[len(bare) :],)
+                        if word not in seen and word in old:
+                            seen[word] = old[word]
                         if word in seen and tail in seen:
                             got[at] = seen[key] = self.join(seen[word], seen[tail])
                             continue

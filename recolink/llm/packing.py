@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from recolink.llm.chunked import ChunkCache
 from recolink.llm.shared import discard, save
 
-#: Chunks of which a worker keeps the ids.
-CHUNK_ENTRIES = 1_500_000
+#: Chunks in a generation of a worker's cache, and texts whose chunks are looked up together.
+CHUNK_ENTRIES, TEXTS = 500_000, 256
 
 
 class ChunkTokenizer:
@@ -61,8 +61,10 @@ class ChunkTokenizer:
                 out[i] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) for x in self.cache.values(texts)]
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), TEXTS):
+            for values in self.cache.values(texts[at : at + TEXTS]):
+                yield b"".join(values)
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
