@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recolink.llm import bpe, exact_dedup, packing, warc
+from recolink.llm import bpe, exact_dedup, language, maxscore, packing, toxicity, warc
 from recolink.llm.shared import table
 
 QUERIES: dict = {}
@@ -53,3 +53,38 @@ def op4(spark, sf_dir):
 def op6(spark, sf_dir):
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def remainder(id_col, modulus):
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus))
+
+
+@query("op5_language_id")
+def op5(spark, sf_dir):
+    """Predicted language of every document; rows with remainder 2 are held out of training."""
+    found = language.identify(table(spark, sf_dir, "documents"), remainder("doc_id", 4) != 2)
+    return found.select(F.col("id").alias("doc_id"), (remainder("id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_maxscore", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20""")
+def op8(spark, sf_dir):
+    """The 20 best inner products of every 20th vector against all others."""
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    """Toxicity of every document; rows with remainder 1 are held out of training."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, labels, remainder("__id", 3) != 1)
+    return found.select(
+        F.col("id").alias("doc_id"), (remainder("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
