@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recolink.llm import bpe, exact_dedup, language, maxscore, packing, toxicity, warc
+from recolink.llm import bpe, exact_dedup, language, maxscore, packing, substring_dedup, toxicity, warc
 from recolink.llm.shared import table
 
 QUERIES: dict = {}
@@ -88,3 +88,9 @@ def op9(spark, sf_dir):
     return found.select(
         F.col("id").alias("doc_id"), (remainder("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query("op10_substring_dedup")
+def op10(spark, sf_dir):
+    """Words of every document that are not covered by a passage of an earlier one."""
+    return substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
