@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recolink.llm import bpe, exact_dedup, language, maxscore, packing, substring_dedup, toxicity, warc
+from recolink.llm import bpe, exact_dedup, language, maxscore, ngram_join, packing, substring_dedup, toxicity, warc
 from recolink.llm.shared import table
 
 QUERIES: dict = {}
@@ -94,3 +94,10 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """Words of every document that are not covered by a passage of an earlier one."""
     return substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark, sf_dir):
+    """Near-duplicate class, set and number of links of every document."""
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
