@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recolink.llm import bpe, exact_dedup, language, maxscore, ngram_join, packing, substring_dedup, toxicity, warc
+from recolink.llm import bpe, exact_dedup, language, maxscore, ngram_join, packing, secrets, substring_dedup, toxicity, warc
 from recolink.llm.shared import table
 
 QUERIES: dict = {}
@@ -101,3 +101,12 @@ def op7(spark, sf_dir):
     """Near-duplicate class, set and number of links of every document."""
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op2_secret_scan")
+def op2(spark, sf_dir):
+    """Every candidate secret in documents, with the forest's verdict."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "finding", "start", "length", "kind", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret"
+    )

@@ -202,25 +202,47 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return terms, fit_linear(votes.astype(np.float64), post)
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """id and score (0 to 1) of each row of docs; labels (id_col, toxic) are learnt from only where learn holds.
-
-    Null and empty texts get the score of a text without any term. Null labels are not learnt from; of a row labelled
-    twice the greater label counts. Without labels of both classes the fixed lexicon alone scores. At most
-    ``train_rows`` labelled rows, in the order of a hash of the id, are learnt from.
-    """
+def learnt(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, train_rows: int) -> tuple[list[str], np.ndarray]:
+    """Terms and weights from at most train_rows labelled rows, in the order of a hash of the id."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
     some = known.where(learn).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
     sample = save(rows.join(some, F.col("__doc") == F.col("__id")).select("text", "toxic"), "toxic-sample")
-    terms, weights = train(sample)
+    model = train(sample)
     discard(sample)
+    return model
+
+
+def scores_of(texts, finder: TermFinder, n_terms: int, weights: np.ndarray) -> np.ndarray:
+    logits = [weights[-1] + sum(weights[i] for i in _features(t, finder, n_terms)) for t in texts]
+    return 1 / (1 + np.exp(-np.clip(np.array(logits, float), -30, 30)))
+
+
+def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """id and score (0 to 1) of each row of docs; labels (id_col, toxic) are learnt from only where learn holds.
+
+    Null and empty texts get the score of a text without any term. Null labels are not learnt from; of a row labelled
+    twice the greater label counts. Without labels of both classes the fixed lexicon alone scores.
+    """
+    terms, weights = learnt(docs, labels, learn, id_col, text_col, train_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = TermFinder(terms)
         for batch in batches:
-            logits = [weights[-1] + sum(weights[i] for i in _features(t, finder, len(terms))) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "score": 1 / (1 + np.exp(-np.clip(logits, -30, 30)))})
+            yield pd.DataFrame({"id": batch["id"], "score": scores_of(batch["text"], finder, len(terms), weights)})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, f"id {kind}, score double")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs that score under the threshold, with all their columns."""
+    terms, weights = learnt(docs, labels, learn, id_col, text_col, train_rows)
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = TermFinder(terms)
+        for texts in parts:
+            yield pd.Series(scores_of(texts, finder, len(terms), weights))
+
+    return docs.where(scored(F.col(text_col).cast("string")) < threshold)
