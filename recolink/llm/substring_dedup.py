@@ -9,11 +9,13 @@ sorted by hash. A new batch becomes a run of its own and is merge-joined with
 the older runs: what both hold is suspect. When ``FAN`` runs of a level have
 gathered they are compacted into one of the next level.
 
-Suspect anchors are then verified: for the windows that select them, and no
-others, a 128-bit digest of the window's own bytes is compared, and a window is
-a repeat if its digest also occurs under a smaller document id. Everything is
-keyed by hash or by document; a passage that many documents share is one group
-of an aggregation, never a list in a task.
+Suspect anchors are then verified on the texts' own bytes by 128-bit digests.
+Neighbouring windows that select one anchor form a region. Regions are compared
+first: one that also occurs under a smaller document id is a repeat as a whole.
+Where an anchor has several different regions (at the ends of passages), each
+region's first occurrence is compared window by window. Everything is keyed by
+hash or by document; a passage that many documents share is one group of an
+aggregation, never a list in a task.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from recolink.llm.wordhash import Words
 
 WINDOW, GRAM = 50, 25
 #: Batches that a whole table is added in, and runs of a level that are compacted together.
-BATCHES, FAN = 4, 3
+BATCHES, FAN = 3, 3
 
 
 def anchors(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -70,32 +72,32 @@ def fingerprints(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     return rows.mapInPandas(run, f"doc_id {kind}, id long, key long, n_words long, sha string, anchors array<long>")
 
 
+def regions(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first and last window of each run of windows that select one anchor."""
+    hashes, at = anchors(words, window, gram)
+    if not len(at):
+        return hashes.view(np.int64), at, at
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return hashes[first].view(np.int64), first, np.concatenate([first[1:], [len(at)]]) - 1
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of (hash, id, key), by level."""
+    """Sorted immutable runs, by level, of (hash, a, b): an anchor with the least and greatest key that holds it."""
 
     def __init__(self, fan: int = FAN):
         self.fan, self.runs = fan, []  # (level, table)
 
     def add(self, marks: DataFrame) -> DataFrame:
-        """Add a batch (doc columns and anchors); returns, saved, the (hash, key) rows of anchors it shares with another document."""
-        parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = marks.select(F.explode("anchors").alias("hash"), "id", "key").repartition(parts, "hash").sortWithinPartitions("hash")
-        new = save(rows, "run0")
-        met = new.select("hash", "id", "key")
-        if self.runs:
-            old = self._all().hint("merge").join(new.select("hash").distinct(), "hash", "left_semi")
-            met = met.unionByName(old.select("hash", "id", "key"))
-        shared = met.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("hash")
-        hits = save(met.join(shared, "hash").select("key", "hash"), "hits")
-        self.runs.append((0, new))
+        """Add a batch (key and anchors; keys that were not added before); returns, saved, the hashes it shares within itself or with what was there."""
         self._compact()
-        return hits
-
-    def _all(self) -> DataFrame:
-        out = self.runs[0][1]
-        for _, run in self.runs[1:]:
-            out = out.unionByName(run)
-        return out
+        rows = marks.select(F.explode("anchors").alias("hash"), "key").groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+        new = save(rows.sortWithinPartitions("hash"), "run0")
+        shared = new.where("a < b").select("hash")
+        for _, run in self.runs:
+            shared = shared.unionByName(new.select("hash").hint("merge").join(run.select("hash"), "hash"))
+        shared = save(shared, "shared")
+        self.runs.append((0, new))
+        return shared
 
     def _compact(self) -> None:
         level = 0
@@ -103,8 +105,8 @@ class FingerprintIndex:
             merged = same[0][1]
             for _, run in same[1:]:
                 merged = merged.unionByName(run)
-            parts = int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            big = save(merged.repartition(parts, "hash").sortWithinPartitions("hash"), f"run{level + 1}")
+            rows = merged.groupBy("hash").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+            big = save(rows.sortWithinPartitions("hash"), f"run{level + 1}")
             discard(*(run for _, run in same))
             self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, big)]
             level += 1
@@ -114,29 +116,69 @@ class FingerprintIndex:
         self.runs = []
 
 
-def window_digests(suspects: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """suspects: id, key, text, hashes -> digest of each window that selects one of the hashes."""
+def region_digests(suspects: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """suspects: id, key, text, hashes -> hash, digest, first and last window of each region whose anchor is listed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ident, key, text, hashes in zip(batch["id"], batch["key"], batch["text"], batch["hashes"]):
+            for ident, key, text, listed in zip(batch["id"], batch["key"], batch["text"], batch["hashes"]):
                 words = Words(text)
-                at = np.flatnonzero(np.isin(anchors(words, window, gram)[0].view(np.int64), np.asarray(hashes, np.int64)))
-                digests = [hashlib.blake2b(words.span(p, window), digest_size=16).digest() for p in at.tolist()]
-                yield pd.DataFrame({"digest": pd.Series(digests, dtype=object), "id": ident, "key": key, "at": at})
+                hashes, first, last = regions(words, window, gram)
+                keep = np.isin(hashes, np.asarray(listed, np.int64))
+                hashes, first, last = hashes[keep], first[keep], last[keep]
+                digests = [hashlib.blake2b(words.span(p, q - p + window), digest_size=16).digest() for p, q in zip(first.tolist(), last.tolist())]
+                yield pd.DataFrame({"hash": hashes, "digest": pd.Series(digests, dtype=object), "id": ident, "key": key, "first": first, "last": last})
+
+    return suspects.select("id", "key", "text", "hashes").mapInPandas(run, "hash long, digest binary, id long, key long, first int, last int")
+
 
-    return suspects.select("id", "key", "text", "hashes").mapInPandas(run, "digest binary, id long, key long, at int")
+def window_digests(places: DataFrame, window: int = WINDOW) -> DataFrame:
+    """places: id, text, spans (hash, digest, first, last) -> per window its digest, and the region it is in and its number there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ident, text, hashes, regions_, firsts, lasts in zip(*(batch[c] for c in ("id", "text", "hashes", "digests", "firsts", "lasts"))):
+                words, rows = Words(text), []
+                for h, region, p, q in zip(hashes, regions_, firsts, lasts):
+                    rows += [(hashlib.blake2b(words.span(w, window), digest_size=16).digest(), h, region, w - p) for w in range(int(p), int(q) + 1)]
+                yield pd.DataFrame(rows, columns=["window", "hash", "digest", "at"]).assign(id=ident)
+
+    return places.mapInPandas(run, "window binary, hash long, digest binary, at int, id long")
+
+
+def repeated_windows(suspects: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Per document key the windows that also start under a smaller id: whole regions (firsts, lasts) and single ones (at)."""
+    places = save(region_digests(suspects, window, gram), "regions")
+    head = F.min(F.struct("id", "key", "first", "last")).alias("head")
+    firsts = save(places.groupBy("hash", "digest").agg(head).select("hash", "digest", "head.*"), "firsts")
+    several = firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    spans = firsts.join(several.hint("merge"), "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "digest", "first", "last")).alias("s"))
+    texts = suspects.select("key", "id", "text").join(spans.hint("merge"), "key").select(
+        "id", "text", F.col("s.hash").alias("hashes"), F.col("s.digest").alias("digests"), F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts")
+    )
+    windows = save(window_digests(texts, window), "windows")
+    least = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least")
+    single = windows.join(least.hint("merge"), "window").where("id > least").groupBy("hash", "digest").agg(F.collect_set("at").alias("at"))
+    known = firsts.select("hash", "digest", F.col("id").alias("least")).join(single, ["hash", "digest"], "left")
+    met = places.join(known.hint("merge"), ["hash", "digest"])
+    whole = F.col("id") > F.col("least")
+    met = met.where(whole | F.col("at").isNotNull()).select(
+        "key",
+        F.when(whole, F.struct("first", "last")).alias("whole"),
+        F.when(~whole, F.transform("at", lambda x: x + F.col("first"))).alias("at"),
+    )
+    return met.groupBy("key").agg(F.collect_list("whole").alias("whole"), F.flatten(F.collect_list("at")).alias("at")).select(
+        "key", F.col("whole.first").alias("firsts"), F.col("whole.last").alias("lasts"), "at"
+    )
 
 
-def remove_windows(words: Words, repeats, window: int = WINDOW) -> tuple[int, bytes, list[bytes]]:
-    """Number of covered words, and the others, joined and as a list."""
+def remove_windows(words: Words, firsts, lasts, window: int = WINDOW) -> tuple[int, bytes]:
+    """Number of words that windows from one of firsts to the last beside it cover, and the other words, joined."""
     edge = np.zeros(len(words) + 1, np.int64)
-    at = np.asarray(repeats, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
+    np.add.at(edge, np.asarray(firsts, np.int64), 1)
+    np.add.at(edge, np.asarray(lasts, np.int64) + window, -1)
     covered = np.cumsum(edge[:-1]) > 0
-    left = [w for w, gone in zip(words.words, covered.tolist()) if not gone]
-    return int(covered.sum()), b" ".join(left), left
+    return int(covered.sum()), b" ".join(w for w, gone in zip(words.words, covered.tolist()) if not gone)
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
@@ -148,30 +190,29 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = keyed(docs, id_col, text_col)
     marks = save(fingerprints(rows, window, gram), "marks")
-    index, hits = FingerprintIndex(), []
+    index, shared = FingerprintIndex(), []
     for number in range(batches):
-        hits.append(index.add(marks.where(F.pmod("key", F.lit(batches)) == number)))
+        shared.append(index.add(marks.where(F.pmod("key", F.lit(batches)) == number).select("key", "anchors")))
     index.drop()
-    found = hits[0]
-    for more in hits[1:]:
+    found = shared[0]
+    for more in shared[1:]:
         found = found.unionByName(more)
-    lists = found.groupBy("key").agg(F.collect_set("hash").alias("hashes"))  # at most a document's own anchors
-    suspects = save(rows.select("id", "key", "text").join(lists.hint("merge"), "key").dropDuplicates(["id", "key"]), "suspects")
-    discard(*hits)
-    digests = save(window_digests(suspects, window, gram), "digests")
-    least = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    repeats = digests.join(least.hint("merge"), "digest").where("id > least").groupBy("id", "key").agg(F.collect_set("at").alias("at"))
+    held = marks.select("key", F.explode("anchors").alias("hash")).join(found.distinct().hint("merge"), "hash")
+    lists = save(held.groupBy("key").agg(F.collect_set("hash").alias("hashes")), "lists")  # at most a document's own anchors
+    discard(*shared)
+    suspects = save(rows.select("id", "key", "text").join(lists.hint("merge"), "key").dropDuplicates(["key"]), "suspects")
+    repeats = repeated_windows(suspects, window, gram)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in parts:
             out = []
-            for text, at in zip(batch["text"], batch["at"]):
-                n, joined, _ = remove_windows(Words(text), at, window)
+            for text, firsts, lasts, at in zip(batch["text"], batch["firsts"], batch["lasts"], batch["at"]):
+                n, joined = remove_windows(Words(text), np.concatenate([firsts, at]), np.concatenate([lasts, at]), window)
                 out.append((n, hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass")))
             frame = pd.DataFrame(out, columns=["n_removed", "kept", "left"], index=batch.index)
             yield pd.concat([batch[["key"]], frame if with_text else frame[["n_removed", "kept"]]], axis=1)
 
-    cut = suspects.join(repeats, ["id", "key"]).select("key", "text", "at").mapInPandas(
+    cut = suspects.join(repeats, "key").select("key", "text", "firsts", "lasts", "at").mapInPandas(
         run, "key long, n_removed long, kept string" + ", left string" * with_text
     )
     cut = save(cut, "cut")
