@@ -7,7 +7,8 @@ and token, a few tokens of each class; classes that share a sampled token meet
 in a bucket, and buckets above ``LIMIT`` are split again by further tokens of
 the path, down to ``DEPTH``. Small buckets are compared by brute force on the
 tokens; what is still large is compared block by block. Runs are repeated, and
-a bucket whose members are connected already is not looked at again.
+a bucket whose members are connected already is not looked at again, and one
+whose members are alike on average is not split but compared at once.
 
 What looks alike (by tokens, well under the asked similarity) is connected into
 components, and within each component all pairs of classes are compared on
@@ -37,8 +38,10 @@ from recolink.llm.wordhash import Words, mixed
 WORDS, SIMILARITY = 5, 0.8
 #: Tokens per class; tokens sampled on average at the first and at later levels; runs; deepest level; bucket limit.
 TOKENS, FIRST, LATER, RUNS, DEPTH, LIMIT = 48, 5, 3, 3, 3, 400
-#: Share of equal tokens from which two classes are candidates (4 deviations under 0.8), and classes per block.
-ALIKE, BLOCK = 0.55, 256
+#: Share of equal tokens from which two classes are candidates (4 deviations under 0.8), and average share from which a bucket is alike.
+ALIKE, CLOSE = 0.55, 0.5
+#: Classes in a block when tokens are compared, and when whole sets are.
+TOKEN_BLOCK, BLOCK = 1000, 256
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**64, TOKENS, dtype=np.uint64) | np.uint64(1)
 
@@ -155,7 +158,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(sorted(set(found)), columns=["u", "v"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _blocked(rows, "path", "cid", LIMIT).select("path", "a", "b", "comp", "sig")
+    dealt = _blocked(rows, "path", "cid", TOKEN_BLOCK).select("path", "a", "b", "comp", "sig")
     return dealt.repartition(parts, "path", "a", "b").sortWithinPartitions("path", "a", "b").mapInPandas(run, "u long, v long").where("u <> v")
 
 
@@ -166,12 +169,19 @@ def _run(classes: DataFrame, number: int) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         met = save(level.join(sizes.where("lo < hi").select("path", "n"), "path"), f"level{depth}")
-        done = met if depth == DEPTH else met.where(F.col("n") <= LIMIT)
-        ready = done if ready is None else ready.unionByName(done)
         large = met.where(F.col("n") > LIMIT)
+        if depth == DEPTH or large.isEmpty():
+            done = met
+        else:
+            probe = large.groupBy("path").agg(F.min_by("sig", "cid").alias("probe"))
+            equal = F.size(F.filter(F.zip_with("sig", "probe", lambda a, b: a == b), lambda x: x)) / F.lit(TOKENS)
+            close = large.join(probe, "path").groupBy("path").agg(F.avg(equal).alias("close"))
+            loose = save(close.where(F.col("close") < CLOSE).select("path"), "loose")
+            done = met.join(loose, "path", "left_anti")
+        ready = done if ready is None else ready.unionByName(done)
         if depth == DEPTH or large.isEmpty():
             break
-        level = large.select("cid", "comp", "sig", F.explode(_choose(F.col("path"), LATER)).alias("path"))
+        level = large.join(loose, "path", "left_semi").select("cid", "comp", "sig", F.explode(_choose(F.col("path"), LATER)).alias("path"))
     return _candidates(ready)
 
 
