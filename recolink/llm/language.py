@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of trigrams.
 BUCKETS = 8192
-#: Labelled rows that the trigram counts come from, at most.
+#: Labelled rows that the trigram counts come from, on average at most.
 TRAIN_ROWS = 6000
 #: Steps of EM with all languages, and with each smaller set.
 STEPS, SET_STEPS = 6, 3
@@ -118,12 +118,14 @@ def mixtures(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """id, lang_pred and score (the language's share) of each row.
 
-    learn says which rows' labels may be used; of those with a label, ``train_rows`` at most, in the order of a hash of
-    the id, give the trigram counts. Null texts and texts without a letter are ``und`` with score 0, as is every text if
+    learn says which rows' labels may be used; of those with a label about ``train_rows``, by a hash of the id, give the
+    trigram counts (all, if they are no more). Null texts and texts without a letter are ``und`` with score 0, as is every text if
     there is nothing to learn from. Ties go to the language first in order. Repeated rows give repeated results.
     """
     labelled = docs.where(learn & F.col(lang_col).isNotNull()).select(id_col, lang_col, text_col)
-    some = labelled.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(train_rows) if train_rows else labelled
+    known = labelled.count()
+    share = int(min(1.0, train_rows / max(1, known)) * (1 << 30))
+    some = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < share)
     langs, table = train(some, lang_col, text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
