@@ -27,7 +27,7 @@ from recolink.llm.chunked import ChunkCache
 from recolink.llm.shared import discard, save
 
 #: Chunks in a generation of a worker's cache, and texts whose chunks are looked up together.
-CHUNK_ENTRIES, TEXTS = 500_000, 256
+CHUNK_ENTRIES, TEXTS = 800_000, 256
 
 
 class ChunkTokenizer:
