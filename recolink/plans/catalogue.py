@@ -1,6 +1,632 @@
-"""Registry of the query plans and of the SQL that must return the same rows."""
+"""Query plans over the driver's tables, each with the SQL that returns the same rows.
+
+The tables stand in for record-linkage ones: an order is a query whose true S1
+is its customer; a (order, supplier) pair of lineitem is a candidate pair; a
+part is a record with a few name words.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from recolink.functions import kernels, numbers, text
+from recolink.operators import blocking, evaluation, features, scoring
+from recolink.sources import tables
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(column):
+    return F.round(column, 6)
+
+
+# ------------------------------------------------------------------ fixtures
+def candidate_pairs(spark, sf):
+    """One row per (order, supplier) with scores in [0, 1], numbers, and the true S1 of the query."""
+    rows = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("s1_id")).agg(
+        r6(F.max("l_discount") * 10).alias("name_tsort"),
+        r6(F.when(F.min("l_linenumber") != 3, F.max("l_tax") * 12.5)).alias("addr_tsort"),
+        (F.min("l_partkey") % 50).cast("int").alias("num_q"),
+        (F.min("l_quantity")).cast("int").alias("num_s"),
+        (F.min("l_linenumber") % 3).cast("int").alias("extra_q"),
+        F.min("l_returnflag").alias("source"),
+        F.count(F.lit(1)).alias("shared"),
+    )
+    return rows.withColumn("base_score", r6(0.5 * F.col("name_tsort") + 0.5 * F.coalesce("addr_tsort", F.lit(0.0))))
+
+
+PAIRS = """pairs AS (
+  SELECT *, round(0.5 * name_tsort + 0.5 * coalesce(addr_tsort, 0), 6) AS base_score FROM (
+    SELECT l_orderkey AS query_id, l_suppkey AS s1_id, round(max(l_discount) * 10, 6) AS name_tsort,
+           round(CASE WHEN min(l_linenumber) <> 3 THEN max(l_tax) * 12.5 END, 6) AS addr_tsort,
+           CAST(min(l_partkey) % 50 AS INTEGER) AS num_q, CAST(trunc(min(l_quantity)) AS INTEGER) AS num_s,
+           CAST(min(l_linenumber) % 3 AS INTEGER) AS extra_q, min(l_returnflag) AS source, count(*) AS shared
+    FROM lineitem GROUP BY ALL))"""
+
+
+def scored_pairs(spark, sf):
+    rows = candidate_pairs(spark, sf).withColumn("relation", numbers.num_relation(F.col("num_q").cast("string"), F.col("num_s").cast("string")))
+    rows = rows.withColumns({"compat": F.col("relation").isin("equal", "compatible").cast("int"), "conflict": (F.col("relation") == "conflict").cast("int")})
+    return rows.withColumn("v2", r6(scoring.rule_score(F.col("name_tsort"), F.col("addr_tsort"), F.col("compat"), F.col("conflict"), F.col("extra_q"))))
+
+
+SCORED = PAIRS + """, related AS (
+  SELECT *, CAST(q = s OR starts_with(q, s) OR ends_with(q, s) OR starts_with(s, q) OR ends_with(s, q) AS INTEGER) AS compat
+  FROM (SELECT *, CAST(num_q AS VARCHAR) AS q, CAST(num_s AS VARCHAR) AS s FROM pairs)),
+scored AS (
+  SELECT * EXCLUDE (q, s), 1 - compat AS conflict,
+         round(CASE WHEN compat = 0 THEN -1.0 ELSE 0.3 * name_tsort + 0.5 * coalesce(addr_tsort, name_tsort) + 0.2 * compat - 0.1 * least(extra_q, 3) / 3 END, 6) AS v2
+  FROM related)"""
+
+
+def truth_tables(spark, sf):
+    """S1 entities (customers), true pairs (finished orders) and predictions (orders over a price, some moved by one)."""
+    customers = read(spark, sf, "customer").select(F.col("c_custkey").alias("s1_id"), F.col("c_nationkey").alias("country"))
+    orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("s1_id"), F.col("o_orderkey").alias("query_id"), "o_orderstatus", "o_totalprice")
+    truth = orders.where("o_orderstatus = 'F'").select("s1_id", "query_id")
+    moved = F.when(F.col("query_id") % 7 == 0, F.col("s1_id") + 1).otherwise(F.col("s1_id"))
+    return customers, truth, orders.where("o_totalprice > 150000").select(moved.alias("s1_id"), "query_id")
+
+
+ENTITIES = """ent AS (SELECT c_custkey AS s1_id, c_nationkey AS country FROM customer),
+truth AS (SELECT DISTINCT o_custkey AS s1_id, o_orderkey AS query_id FROM orders WHERE o_orderstatus = 'F'),
+pred AS (SELECT DISTINCT CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS s1_id, o_orderkey AS query_id FROM orders WHERE o_totalprice > 150000),
+es AS (
+  SELECT *, CASE WHEN n_true = 0 THEN CAST(n_pred = 0 AS DOUBLE) WHEN n_pred = 0 OR n_hit = 0 THEN 0.0 ELSE 1.25 * n_hit / (n_pred + 0.25 * n_true) END AS f
+  FROM (SELECT e.s1_id, e.country, coalesce(t.n, 0) AS n_true, coalesce(p.n, 0) AS n_pred, coalesce(h.n, 0) AS n_hit FROM ent e
+        LEFT JOIN (SELECT s1_id, count(*) AS n FROM truth GROUP BY 1) t USING (s1_id)
+        LEFT JOIN (SELECT s1_id, count(*) AS n FROM pred GROUP BY 1) p USING (s1_id)
+        LEFT JOIN (SELECT s1_id, count(*) AS n FROM truth JOIN pred USING (s1_id, query_id) GROUP BY 1) h USING (s1_id)))"""
+
+
+def parts(spark, sf):
+    """Records with an id, a partition (the brand), words and a number."""
+    return read(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("country"), F.col("p_size").cast("string").alias("num"),
+        F.col("p_name").alias("name"), text.tokens(F.lower(F.concat_ws(" ", "p_name", "p_type"))).alias("words"),
+    )
+
+
+WORDS = """part_words AS (SELECT p_partkey AS id, p_brand AS country, CAST(p_size AS VARCHAR) AS num,
+  list_distinct(regexp_extract_all(lower(concat_ws(' ', p_name, p_type)), '[a-z0-9]+')) AS words FROM part),
+word_rows AS (SELECT id, country, num, unnest(words) AS token FROM part_words)"""
+
+
+# ------------------------------------------------------------------ metric and truth
+@query(f"WITH {ENTITIES} SELECT round(avg(f), 6) AS macro_f05, count(*) AS entities FROM es")
+def metric_macro_f05(spark, sf):
+    return evaluation.macro_f05(evaluation.entity_scores(*truth_tables(spark, sf)))
+
+
+@query(f"""WITH {ENTITIES} SELECT country, count(*) AS entities, round(avg(f), 6) AS macro_f05,
+  round(sum(n_hit) / nullif(sum(n_pred), 0), 6) AS precision, round(sum(n_hit) / nullif(sum(n_true), 0), 6) AS recall
+  FROM es GROUP BY GROUPING SETS ((country), ())""")
+def metric_breakdown(spark, sf):
+    return evaluation.breakdown(evaluation.entity_scores(*truth_tables(spark, sf)))
+
+
+@query(f"WITH {ENTITIES} SELECT s1_id, country, CAST(n_true AS BIGINT) AS n_true, CAST(n_pred AS BIGINT) AS n_pred, CAST(n_hit AS BIGINT) AS n_hit, round(f, 6) AS f FROM es")
+def metric_entities(spark, sf):
+    return evaluation.entity_scores(*truth_tables(spark, sf)).withColumn("f", r6("f"))
+
+
+@query(f"""WITH {ENTITIES}, b AS (
+  SELECT es.*, n_true - n_true // 3 AS n_found, (n_pred - n_hit) // 2 AS fp_decoy, n_pred - n_hit - (n_pred - n_hit) // 2 AS fp_other FROM es),
+c AS (SELECT *, greatest(n_hit, n_found) AS found, CASE WHEN n_hit > 0 THEN 1.25 * n_hit / (n_hit + 0.25 * n_true) ELSE 0.0 END AS clean FROM b)
+SELECT round(avg(CASE WHEN n_true = 0 AND n_pred > 0 THEN 1.0 ELSE 0.0 END), 6) AS singleton_nonempty,
+  round(avg(CASE WHEN n_true > 0 THEN (clean - f) * fp_decoy / greatest(fp_decoy + fp_other, 1) ELSE 0.0 END), 6) AS fp_decoy_loss,
+  round(avg(CASE WHEN n_true > 0 THEN (clean - f) * fp_other / greatest(fp_decoy + fp_other, 1) ELSE 0.0 END), 6) AS fp_other_loss,
+  round(avg(CASE WHEN n_true > 0 THEN (1 - clean) * (n_true - found) / greatest(n_true - n_hit, 1) ELSE 0.0 END), 6) AS fn_blocking_loss,
+  round(avg(CASE WHEN n_true > 0 THEN (1 - clean) * (found - n_hit) / greatest(n_true - n_hit, 1) ELSE 0.0 END), 6) AS fn_scoring_loss,
+  round(1 - avg(f), 6) AS total FROM c""")
+def error_budget(spark, sf):
+    rows = evaluation.entity_scores(*truth_tables(spark, sf))
+    wrong = F.col("n_pred") - F.col("n_hit")
+    rows = rows.withColumns({"n_found": F.greatest(F.col("n_hit"), F.col("n_true") - F.floor(F.col("n_true") / 3)), "fp_decoy": F.floor(wrong / 2)})
+    return evaluation.error_budget(rows.withColumn("fp_other", wrong - F.col("fp_decoy")))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS s1_id, concat('S2-', o_orderkey) AS other_id, 'S2' AS other_source FROM orders WHERE o_orderstatus = 'F'""")
+def explode_truth_pairs(spark, sf):
+    listed = read(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").cast("string").alias("source1_entity_id")).agg(
+        F.array_join(F.collect_list(F.concat(F.lit("S2-"), F.col("o_orderkey").cast("string"))), ",").alias("matched_entity_ids")
+    )
+    return tables.explode_truth(listed)
+
+
+@query(f"""WITH {ENTITIES}, l AS (SELECT s1_id, string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY query_id DESC) AS ids FROM truth GROUP BY 1)
+SELECT s1_id, coalesce(ids, '') AS ids FROM ent LEFT JOIN l USING (s1_id)""")
+def id_list_output(spark, sf):
+    entities, truth, _ = truth_tables(spark, sf)
+    return tables.id_lists(entities, truth, "s1_id", "query_id", -F.col("query_id"), "ids")
+
+
+@query("SELECT o_custkey, count(*) AS orders, count(DISTINCT o_orderkey) AS distinct_orders FROM orders GROUP BY 1 HAVING count(*) > 20")
+def assert_one_to_one(spark, sf):
+    rows = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("o_orderkey").alias("distinct_orders"))
+    return rows.where("orders > 20")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000 AND o_custkey IS NOT NULL)")
+def anti_missing_ids(spark, sf):
+    rich = read(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf, "customer").select("c_custkey").join(rich, "c_custkey", "left_anti")
+
+
+@query("SELECT DISTINCT lang AS country FROM documents")
+def list_partitions(spark, sf):
+    return tables.list_partitions(read(spark, sf, "documents").withColumnRenamed("lang", "country"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'")
+def scan_pushdown(spark, sf):
+    return tables.read_parquet(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_totalprice"], F.col("o_orderpriority") == "1-URGENT")
+
+
+# ------------------------------------------------------------------ blocking
+@query(f"WITH {WORDS} SELECT country, token, count(*) AS df FROM word_rows GROUP BY ALL")
+def token_df(spark, sf):
+    return blocking.token_df(parts(spark, sf), "words")
+
+
+RAREST = f"""{WORDS}, df AS (SELECT country, token, count(*) AS df FROM word_rows WHERE id % 2 = 0 GROUP BY ALL),
+rare AS (SELECT w.country, w.id, w.num, token, df.df, row_number() OVER (PARTITION BY w.country, w.id ORDER BY df.df, token) AS rank
+  FROM word_rows w JOIN df USING (country, token) QUALIFY rank <= 2)"""
+
+
+@query(f"WITH {RAREST} SELECT country, id, token, df, CAST(rank AS INTEGER) AS rank FROM rare")
+def rarest_tokens(spark, sf):
+    records = parts(spark, sf)
+    return blocking.rarest_tokens(records, "id", "words", blocking.token_df(records.where("id % 2 = 0"), "words"))
+
+
+def _keyed(spark, sf):
+    records = parts(spark, sf)
+    rare = blocking.rarest_tokens(records, "id", "words", blocking.token_df(records.where("id % 2 = 0"), "words"))
+    keys = rare.join(records.select("country", "id", "num"), ["country", "id"])
+    return keys.where("id % 2 = 1").withColumnRenamed("id", "query_id"), keys.where("id % 2 = 0").withColumnRenamed("id", "s1_id")
+
+
+PASS_A = f"""{RAREST}, s AS (SELECT DISTINCT country, num, token, id AS s1_id FROM rare WHERE id % 2 = 0),
+capped AS (SELECT * FROM s QUALIFY count(*) OVER (PARTITION BY country, num, token) <= 50),
+pass_a AS (SELECT query_id, s1_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s1_id) AS rank FROM (
+  SELECT q.id AS query_id, s1_id, count(*) AS score FROM (SELECT DISTINCT country, num, token, id FROM rare WHERE id % 2 = 1) q
+  JOIN capped USING (country, num, token) GROUP BY ALL) QUALIFY rank <= 20)"""
+
+
+@query(f"WITH {PASS_A} SELECT query_id, s1_id, score, CAST(rank AS INTEGER) AS rank FROM pass_a")
+def pass_a_candidates(spark, sf):
+    queries, s1 = _keyed(spark, sf)
+    return blocking.shared_key_candidates(queries, s1, ["country", "num", "token"])
+
+
+def _records_with_grams(spark, sf):
+    return parts(spark, sf).withColumn("grams", text.char_grams(F.lower("name")))
+
+
+GRAMS = """pw AS (SELECT p_partkey AS id, p_brand AS country, ' ' || unnest(string_split(lower(p_name), ' ')) || ' ' AS w FROM part),
+grams AS (SELECT id, country, unnest(CASE WHEN length(w) < 4 THEN [w] ELSE list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) END) AS gram FROM pw),
+sizes AS (SELECT country, count(DISTINCT id) AS n FROM grams WHERE id % 2 = 0 GROUP BY 1),
+vocab AS (SELECT country, gram, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT country, gram, count(DISTINCT id) AS df FROM grams WHERE id % 2 = 0 GROUP BY ALL) JOIN sizes USING (country)
+  WHERE df >= 2 AND df <= greatest(2, floor(n * 0.3))),
+raw AS (SELECT g.country, gram, id, (1 + ln(tf)) * idf AS w FROM (SELECT country, id, gram, count(*) AS tf FROM grams GROUP BY ALL) g JOIN vocab USING (country, gram)),
+weights AS (SELECT country, gram, id, w / norm AS weight FROM raw JOIN (SELECT country, id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY ALL) USING (country, id))"""
+
+
+def _weights(spark, sf):
+    records = _records_with_grams(spark, sf)
+    vocabulary = blocking.fit_vocabulary(records.where("id % 2 = 0"), "id", "grams", max_share=0.3)
+    return blocking.tfidf_weights(records, "id", "grams", vocabulary)
+
+
+@query(f"WITH {GRAMS} SELECT country, gram, id, round(weight, 6) AS weight FROM weights")
+def tfidf_weights(spark, sf):
+    return _weights(spark, sf).withColumn("weight", r6("weight"))
+
+
+PASS_C = f"""{GRAMS}, pass_c AS (SELECT query_id, s1_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s1_id) AS rank FROM (
+  SELECT q.id AS query_id, s.id AS s1_id, round(sum(q.weight * s.weight), 6) AS score FROM weights q JOIN weights s ON q.country = s.country AND q.gram = s.gram
+  WHERE q.id % 2 = 1 AND s.id % 2 = 0 GROUP BY ALL) QUALIFY rank <= 10)"""
+
+
+def _pass_c(spark, sf):
+    w = _weights(spark, sf)
+    return blocking.cosine_candidates(w.where("id % 2 = 1").withColumnRenamed("id", "query_id"), w.where("id % 2 = 0").withColumnRenamed("id", "s1_id"), digits=6)
+
+
+@query(f"WITH {PASS_C} SELECT query_id, s1_id, score, CAST(rank AS INTEGER) AS rank FROM pass_c")
+def pass_c_topk(spark, sf):
+    return _pass_c(spark, sf)
+
+
+UNION = f"""{PASS_A}, {PASS_C}, both_passes AS (SELECT query_id, s1_id, CAST(a.score AS DOUBLE) AS score_a, c.score AS score_c FROM pass_a a FULL JOIN pass_c c USING (query_id, s1_id))"""
+
+
+@query(f"WITH {UNION} SELECT *, score_a IS NOT NULL AS in_a, score_c IS NOT NULL AS in_c FROM both_passes")
+def pass_union(spark, sf):
+    return blocking.union_passes(a=pass_a_candidates(spark, sf), c=_pass_c(spark, sf))
+
+
+@query()
+def pass_d_candidates(spark, sf):
+    records = parts(spark, sf)
+    return blocking.rare_token_candidates(records.where("id % 2 = 1").withColumnRenamed("id", "query_id"), records.where("id % 2 = 0").withColumnRenamed("id", "s1_id"), "words", "name", kernels.pairwise(kernels.token_sort_ratio))
+
+
+@query(f"WITH {PAIRS} SELECT query_id, s1_id, base_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, s1_id) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 3")
+def topk_fixed(spark, sf):
+    return blocking.top_k(candidate_pairs(spark, sf), "base_score", 3).select("query_id", "s1_id", "base_score", "rank")
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT query_id, s1_id, round(name_tsort + 0.2 * shared, 6) AS cheap, extra_q FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cheap DESC, s1_id) AS rank FROM c),
+k AS (SELECT *, CASE WHEN count(*) OVER w > 5 AND max(cheap) OVER w - min(CASE WHEN rank <= 5 THEN cheap END) OVER w < 0.65 THEN 8 ELSE 5 END AS k FROM r WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, s1_id, cheap, CAST(rank AS INTEGER) AS rank, k FROM k WHERE rank <= k OR extra_q = 2""")
+def topk_adaptive(spark, sf):
+    rows = candidate_pairs(spark, sf).withColumn("cheap", r6(blocking.cheap_score(F.col("shared"), F.col("name_tsort"))))
+    return blocking.adaptive_top_k(rows, gap=0.65, always=F.col("extra_q") == 2).select("query_id", "s1_id", "cheap", "rank", "k")
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT query_id, s1_id, row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, s1_id) AS rank FROM pairs),
+t AS (SELECT query_id, max(s1_id) AS s1_id FROM pairs GROUP BY 1 UNION ALL SELECT query_id, -1 FROM pairs WHERE shared > 1)
+SELECT count(*) AS pairs, round(avg(CAST(rank IS NOT NULL AS DOUBLE)), 6) AS recall,
+  round(avg(CAST(coalesce(rank <= 1, false) AS DOUBLE)), 6) AS recall_1, round(avg(CAST(coalesce(rank <= 3, false) AS DOUBLE)), 6) AS recall_3,
+  round(avg(CAST(coalesce(rank <= 5, false) AS DOUBLE)), 6) AS recall_5, round(avg(CAST(coalesce(rank <= 10, false) AS DOUBLE)), 6) AS recall_10
+FROM t LEFT JOIN c USING (query_id, s1_id)""")
+def recall_at_k(spark, sf):
+    pairs = candidate_pairs(spark, sf)
+    truth = pairs.groupBy("query_id").agg(F.max("s1_id").alias("s1_id")).unionByName(pairs.where("shared > 1").select("query_id", F.lit(-1).cast("long").alias("s1_id")))
+    return evaluation.recall_at(truth, blocking.top_k(pairs, "base_score", 1000))
+
+
+DEDUP = r"""d AS (SELECT doc_id, lang, text FROM documents), firsts AS (SELECT lang, text, min(doc_id) AS s1 FROM d GROUP BY ALL),
+q AS (SELECT d.doc_id AS query_id, d.lang, d.text, s1 AS true_s1 FROM d JOIN firsts USING (lang, text) WHERE d.doc_id <> s1),
+st AS (SELECT lang, s1 AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}'))) AS token FROM firsts),
+df AS (SELECT lang, token, count(*) AS df FROM st GROUP BY ALL),
+sr AS (SELECT lang, id, token FROM (SELECT *, row_number() OVER (PARTITION BY lang, id ORDER BY df, token) AS r FROM st JOIN df USING (lang, token)) WHERE r <= 2),
+sc AS (SELECT * FROM sr QUALIFY count(*) OVER (PARTITION BY lang, token) <= 50),
+qt AS (SELECT lang, query_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}'))) AS token FROM q),
+qr AS (SELECT lang, id, token FROM (SELECT *, row_number() OVER (PARTITION BY lang, id ORDER BY df, token) AS r FROM qt JOIN df USING (lang, token)) WHERE r <= 2),
+best AS (SELECT * FROM (SELECT qr.id AS query_id, sc.id AS s1_id, count(*) AS score FROM qr JOIN sc USING (lang, token) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s1_id) = 1)"""
+
+
+@query(f"""WITH {DEDUP}, e AS (SELECT s1 AS s1_id FROM firsts),
+x AS (SELECT s1_id, (SELECT count(*) FROM q WHERE true_s1 = e.s1_id) AS t, (SELECT count(*) FROM best b WHERE b.s1_id = e.s1_id) AS p,
+  (SELECT count(*) FROM best b JOIN q USING (query_id) WHERE b.s1_id = e.s1_id AND true_s1 = e.s1_id) AS h FROM e)
+SELECT round(avg(CASE WHEN t = 0 THEN CAST(p = 0 AS DOUBLE) WHEN p = 0 OR h = 0 THEN 0.0 ELSE 1.25 * h / (p + 0.25 * t) END), 6) AS macro_f05, count(*) AS entities FROM x""")
+def dedup_link(spark, sf):
+    """The flagship: later copies of a text are linked to its first document by rare shared words, one-to-one, and scored."""
+    docs = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("country"), "text")
+    firsts = docs.groupBy("country", "text").agg(F.min("doc_id").alias("s1_id"))
+    words = lambda c: F.array_distinct(text.tokens(F.lower(c), "[a-z]{2,}"))
+    queries = docs.join(firsts, ["country", "text"]).where(F.col("doc_id") != F.col("s1_id")).select("country", F.col("doc_id").alias("query_id"), F.col("s1_id").alias("true_s1"), words("text").alias("words"))
+    s1 = firsts.select("country", "s1_id", words("text").alias("words"))
+    df = blocking.token_df(s1, "words")
+    left = blocking.rarest_tokens(queries, "query_id", "words", df)
+    right = blocking.rarest_tokens(s1, "s1_id", "words", df)
+    pairs = blocking.shared_key_candidates(left, right, ["country", "token"], keep=5)
+    chosen = scoring.one_to_one(pairs, "score")
+    truth = queries.select(F.col("true_s1").alias("s1_id"), "query_id")
+    return evaluation.macro_f05(evaluation.entity_scores(s1.select("s1_id"), truth, chosen))
+
+
+# ------------------------------------------------------------------ features
+@query(f"""WITH {PAIRS}, a AS (SELECT query_id, s1_id, base_score, extra_q, CAST(num_q AS VARCHAR) AS main_q,
+  row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, s1_id) AS q_rank FROM pairs),
+b AS (SELECT *, max(base_score) OVER q AS q_best, max(CASE WHEN q_rank = 2 THEN base_score END) OVER q AS two,
+  sum(CAST(q_rank = 1 AS INTEGER)) OVER s AS s1_claims, min(CASE WHEN q_rank = 1 THEN extra_q END) OVER s AS least
+  FROM a WINDOW q AS (PARTITION BY query_id), s AS (PARTITION BY s1_id)),
+v AS (SELECT * FROM (SELECT s1_id, main_q AS major, count(*) AS n FROM a WHERE q_rank = 1 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY n DESC, major DESC) = 1)
+SELECT query_id, s1_id, CAST(q_rank AS INTEGER) AS q_rank, q_best, round(q_best - base_score, 6) AS q_gap_to_best, round(q_best - coalesce(two, 0), 6) AS q_margin,
+  CAST(s1_claims AS BIGINT) AS s1_claims, coalesce(extra_q - least, 0) AS extra_vs_min,
+  CASE WHEN major IS NOT NULL AND NOT (q_rank = 1 AND main_q = major AND n = 1)
+    THEN CAST(main_q = major OR starts_with(main_q, major) OR ends_with(main_q, major) OR starts_with(major, main_q) OR ends_with(major, main_q) AS INTEGER) END AS num_agree_major
+FROM b LEFT JOIN v USING (s1_id)""")
+def context_features(spark, sf):
+    rows = features.context_features(candidate_pairs(spark, sf).select("query_id", "s1_id", "base_score", "extra_q", F.col("num_q").cast("string").alias("main_q")))
+    return rows.select("query_id", "s1_id", "q_rank", "q_best", r6("q_gap_to_best").alias("q_gap_to_best"), r6("q_margin").alias("q_margin"), "s1_claims", "extra_vs_min", "num_agree_major")
+
+
+def _group_input(spark, sf):
+    rows = scored_pairs(spark, sf)
+    return rows.withColumns({"no_conflict": 1 - F.col("conflict"), "no_extra": (F.col("extra_q") == 0).cast("int")}).select("query_id", "s1_id", "base_score", "v2", "addr_tsort", "source", "no_conflict", "no_extra")
+
+
+@query(f"""WITH {SCORED}, a AS (SELECT query_id, s1_id, v2, source, compat AS no_conflict, CAST(extra_q = 0 AS INTEGER) AS no_extra, CAST(base_score >= 0.6 AS INTEGER) AS c,
+  row_number() OVER (PARTITION BY s1_id ORDER BY v2 DESC, query_id) AS g_rank_v2, row_number() OVER (PARTITION BY s1_id ORDER BY coalesce(addr_tsort, -1) DESC, query_id) AS g_rank_addr,
+  row_number() OVER (PARTITION BY s1_id, source ORDER BY v2 DESC, query_id) AS g_rank_src, row_number() OVER (PARTITION BY query_id ORDER BY v2 DESC, s1_id) AS qr FROM scored),
+b AS (SELECT *, max(v2) OVER s AS best, max(CASE WHEN g_rank_v2 = 2 THEN v2 END) OVER s AS two, max(v2) OVER q AS qbest, max(CASE WHEN qr = 2 THEN v2 END) OVER q AS qtwo,
+  sum(c) OVER s AS g_size, sum(c * no_conflict) OVER s AS g_n_noconf, sum(c * no_extra) OVER s AS g_n_noextra, sum(c) OVER src - c AS g_same_src,
+  count(*) OVER q AS q_n_cand, sum(no_conflict) OVER q AS q_n_compat
+  FROM a WINDOW s AS (PARTITION BY s1_id), q AS (PARTITION BY query_id), src AS (PARTITION BY s1_id, source))
+SELECT query_id, s1_id, CAST(g_rank_v2 AS INTEGER) AS g_rank_v2, CAST(g_rank_addr AS INTEGER) AS g_rank_addr, CAST(g_rank_src AS INTEGER) AS g_rank_src, CAST(c AS BIGINT) AS is_claimant,
+  round(best - v2, 6) AS g_gap_v2, round(coalesce(CASE WHEN g_rank_v2 = 1 THEN two ELSE best END, -1), 6) AS g_other_max_v2,
+  CAST(g_size AS BIGINT) AS g_size, CAST(g_n_noconf AS BIGINT) AS g_n_noconf, CAST(g_n_noextra AS BIGINT) AS g_n_noextra, CAST(g_same_src AS BIGINT) AS g_same_src,
+  q_n_cand, CAST(q_n_compat AS BIGINT) AS q_n_compat, round(qbest, 6) AS q_v2_best, round(qbest - v2, 6) AS q_v2_gap, round(coalesce(qbest - qtwo, 2), 6) AS q_v2_margin FROM b""")
+def group_features(spark, sf):
+    rows = features.group_features(_group_input(spark, sf)).drop("base_score", "v2", "addr_tsort", "source", "no_conflict", "no_extra")
+    return rows.withColumns({c: r6(c) for c in ("g_gap_v2", "g_other_max_v2", "q_v2_best", "q_v2_gap", "q_v2_margin")})
+
+
+@query(f"""WITH {PAIRS}, a AS (SELECT query_id, s1_id, base_score AS p1, row_number() OVER (PARTITION BY s1_id ORDER BY base_score DESC, query_id) AS sr,
+  row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, s1_id) AS qr FROM pairs),
+b AS (SELECT *, max(p1) OVER s AS best, coalesce(max(CASE WHEN sr = 2 THEN p1 END) OVER s, 0) AS two, sum(p1) OVER s AS total, count(CASE WHEN p1 > 0.5 THEN 1 END) OVER s AS c,
+  max(p1) OVER q AS qbest, max(CASE WHEN qr = 2 THEN p1 END) OVER q AS qtwo FROM a WINDOW s AS (PARTITION BY s1_id), q AS (PARTITION BY query_id))
+SELECT query_id, s1_id, p1, CAST(sr AS INTEGER) AS p1_s1_rank, CAST(qr AS INTEGER) AS p1_q_rank, best AS p1_s1_max, two AS p1_s1_second, round(total, 4) AS p1_s1_sum, c AS p1_s1_cnt05,
+  round(p1 - best, 6) AS p1_minus_s1max, CASE WHEN sr = 1 THEN two ELSE best END AS p1_s1_other_max,
+  coalesce(CASE WHEN qr = 1 THEN qtwo ELSE qbest END, 0) AS p1_q_other_max, round(p1 - coalesce(CASE WHEN qr = 1 THEN qtwo ELSE qbest END, 0), 6) AS p1_q_margin FROM b""")
+def p1_aggregates(spark, sf):
+    rows = features.stage_features(candidate_pairs(spark, sf).select("query_id", "s1_id", F.col("base_score").alias("p1")))
+    return rows.withColumns({"p1_s1_sum": F.round("p1_s1_sum", 4), "p1_minus_s1max": r6("p1_minus_s1max"), "p1_q_margin": r6("p1_q_margin")})
+
+
+@query(f"""WITH {PAIRS}, a AS (SELECT s1_id, query_id, base_score AS p, row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, s1_id) = 1 AS kept FROM pairs),
+b AS (SELECT *, CASE WHEN kept THEN p END AS k, CASE WHEN kept THEN row_number() OVER (PARTITION BY s1_id, kept ORDER BY p DESC, query_id) END AS r FROM a),
+g AS (SELECT s1_id, max(k) AS hm_max, max(CASE WHEN r = 2 THEN k END) AS hm_second, round(sum(k), 4) AS hm_sum, count(k) AS hm_cnt, count(CASE WHEN k > 0.5 THEN 1 END) AS hm_cnt05,
+  max(p) AS hm_all_max, round(sum(p), 4) AS hm_all_sum, count(*) AS hm_n_pairs FROM b GROUP BY 1)
+SELECT s.s1_id, hm_max, coalesce(hm_second, 0) AS hm_second, coalesce(hm_sum, 0) AS hm_sum, coalesce(hm_cnt, 0) AS hm_cnt, coalesce(hm_cnt05, 0) AS hm_cnt05, hm_all_max, coalesce(hm_all_sum, 0) AS hm_all_sum,
+  coalesce(hm_n_pairs, 0) AS hm_n_pairs FROM (SELECT s_suppkey AS s1_id FROM supplier UNION ALL SELECT -1) s LEFT JOIN g USING (s1_id)""")
+def hasmatch_table(spark, sf):
+    s1 = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("s1_id")).unionByName(spark.range(1).select((F.col("id") - 1).alias("s1_id")))
+    rows = features.has_match_table(s1, candidate_pairs(spark, sf).select("query_id", "s1_id", F.col("base_score").alias("p2")))
+    return rows.withColumns({"hm_sum": F.round("hm_sum", 4), "hm_all_sum": F.round("hm_all_sum", 4)})
+
+
+@query()
+def twin_features(spark, sf):
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("name"), F.col("o_totalprice").cast("string").alias("addr"))
+    pairs = scored_pairs(spark, sf).join(orders, "query_id").withColumnRenamed("extra_q", "extra")
+    return features.twin_features(pairs, kernels.pairwise(kernels.token_sort_ratio))
+
+
+# ------------------------------------------------------------------ scores and selection
+@query(f"WITH {SCORED} SELECT query_id, s1_id, round(0.3 * name_tsort + 0.6 * coalesce(addr_tsort, 0) + 0.1 * compat, 6) AS score, 0.3 * name_tsort + 0.6 * coalesce(addr_tsort, 0) + 0.1 * compat >= 0.6400001 AS accepted FROM scored")
+def rule_score_baseline(spark, sf):
+    score = scoring.baseline_score(F.col("name_tsort"), F.col("addr_tsort"), F.col("compat"))
+    return scored_pairs(spark, sf).select("query_id", "s1_id", r6(score).alias("score"), (score >= 0.6400001).alias("accepted"))
+
+
+@query(f"WITH {SCORED} SELECT query_id, s1_id, compat, conflict, v2 FROM scored")
+def rule_score_v2(spark, sf):
+    return scored_pairs(spark, sf).select("query_id", "s1_id", "compat", "conflict", "v2")
+
+
+@query(f"WITH {PAIRS} SELECT query_id, s1_id, base_score FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, s1_id) = 1")
+def one_to_one(spark, sf):
+    return scoring.one_to_one(candidate_pairs(spark, sf), "base_score").select("query_id", "s1_id", "base_score")
+
+
+@query(f"""WITH {SCORED}, o AS (SELECT query_id, s1_id, v2 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v2 DESC, s1_id) = 1)
+SELECT * FROM (SELECT * FROM o WHERE v2 >= 0.64) QUALIFY max(v2) OVER (PARTITION BY s1_id) >= 0.9""")
+def threshold_select(spark, sf):
+    return scoring.select(scored_pairs(spark, sf), "v2", 0.64, 0.9).select("query_id", "s1_id", "v2")
+
+
+@query(f"""WITH {WORDS}, lab AS (SELECT l_partkey AS id, max(CAST(l_returnflag = 'R' AS INTEGER)) AS label FROM lineitem GROUP BY 1),
+rows_ AS (SELECT token, label, CAST(id % 5 AS INTEGER) AS fold FROM word_rows JOIN lab USING (id)), used AS (SELECT * FROM rows_ WHERE fold BETWEEN 1 AND 4),
+f AS (SELECT unnest([0, 1, 2, 3, 4]) AS fold)
+SELECT f.fold, u.token, round((sum(1 - label) + 20 * (SELECT avg(CAST(1 - label AS DOUBLE)) FROM used x WHERE x.fold <> f.fold)) / (count(*) + 20), 6) AS score
+FROM f JOIN used u ON u.fold <> f.fold GROUP BY f.fold, u.token""")
+def target_encoding_oof(spark, sf):
+    label = read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"))
+    rows = parts(spark, sf).select("id", F.explode(F.array_distinct("words")).alias("token")).join(label, "id").withColumn("fold", (F.col("id") % 5).cast("int"))
+    return scoring.target_encoding(rows).withColumn("score", r6("score"))
+
+
+@query(f"""WITH {SCORED}, g AS (SELECT a / 10.0 AS wn, b / 10.0 AS wa, (10 - a - b) / 10.0 AS wm FROM range(1, 10) t(a), range(1, 10) u(b) WHERE a + b <= 10),
+s AS (SELECT wn, wa, query_id, s1_id, round(wn * name_tsort + wa * coalesce(addr_tsort, 0) + wm * compat, 6) AS score FROM scored, g WHERE query_id % 10 = 1),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY wn, wa, query_id ORDER BY score DESC, s1_id) = 1)
+SELECT CAST(wn AS DOUBLE) AS wn, CAST(wa AS DOUBLE) AS wa, count(CASE WHEN score >= 0.6400001 THEN 1 END) AS accepted, round(sum(score), 6) AS total FROM b GROUP BY ALL""")
+def grid_search_weights(spark, sf):
+    """Each weighting's one-to-one choice, with the parameters as a small table beside the pairs; every tenth query is the operator's own sample."""
+    pairs = scored_pairs(spark, sf).where("query_id % 10 = 1")
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("wn"), F.lit(b).alias("wa"), F.lit(c).alias("wm")) for a, b, c in scoring.weight_grid()]))
+    rows = pairs.withColumn("g", grid).select("query_id", "s1_id", "g.*", "name_tsort", "addr_tsort", "compat")
+    rows = rows.withColumn("score", r6(F.col("wn") * F.col("name_tsort") + F.col("wa") * F.coalesce("addr_tsort", F.lit(0.0)) + F.col("wm") * F.col("compat")))
+    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("wn", "wa", "query_id").orderBy(F.desc("score"), "s1_id"))).where("r = 1")
+    return best.groupBy("wn", "wa").agg(F.count_if(F.col("score") >= 0.6400001).alias("accepted"), r6(F.sum("score")).alias("total"))
+
+
+@query(f"WITH {PAIRS}, b AS (SELECT ntile(50) OVER (ORDER BY base_score, query_id, s1_id) AS bin, base_score, extra_q FROM pairs) SELECT CAST(bin AS INTEGER) AS bin, round(avg(base_score), 6) AS mean_p, round(avg(CAST(extra_q = 0 AS INTEGER)), 6) AS mean_label, count(*) AS n FROM b GROUP BY 1")
+def isotonic_bins(spark, sf):
+    rows = candidate_pairs(spark, sf).select("base_score", (F.col("extra_q") == 0).cast("int").alias("label"), F.struct("query_id", "s1_id").alias("pair"))
+    return scoring.isotonic_bins(rows, "base_score", "label", "pair", 50).withColumns({"mean_p": r6("mean_p"), "mean_label": r6("mean_label")})
+
+
+@query()
+def expected_f05_decode(spark, sf):
+    pairs = scoring.one_to_one(candidate_pairs(spark, sf), "base_score").select("query_id", "s1_id", F.col("base_score").alias("p"))
+    return scoring.decode(pairs, pairs.groupBy("s1_id").agg(F.max("p").alias("h")))
+
+
+@query()
+def stage1_gbt(spark, sf):
+    rows = scored_pairs(spark, sf).withColumn("label", (F.col("num_q") % 3 == 0).cast("int"))
+    columns = ["name_tsort", "addr_tsort", "base_score", "num_q", "num_s"]
+    rows = rows.select("query_id", "s1_id", "label", *[F.col(c).cast("double") for c in columns])
+    from pyspark.ml.functions import vector_to_array
+
+    model = scoring.fit_gbt(rows.where("query_id % 5 <> 0"), columns, trees=8, depth=4)
+    return model.transform(rows.where("query_id % 5 = 0")).select("query_id", "s1_id", "label", r6(vector_to_array("probability")[1]).alias("p1"))
+
+
+@query()
+def calibrated(spark, sf):
+    rows = candidate_pairs(spark, sf).select("query_id", "s1_id", "base_score", (F.col("extra_q") == 0).cast("double").alias("label"))
+    return scoring.fit_isotonic(rows, "base_score", "label").transform(rows).select("query_id", "s1_id", r6("calibrated").alias("calibrated"))
+
+
+# ------------------------------------------------------------------ numbers, text and sets
+@query(r"""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\d+'), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END)) AS u FROM documents)
+SELECT doc_id, array_to_string(list_sort(u), ' ') AS numbers, array_to_string(list_sort(list_distinct(list_transform(u, lambda x: right('00' || x, 3)))), ' ') AS num_keys FROM n WHERE len(u) > 0""")
+def num_keys(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", text.numbers_in(F.col("text")).alias("n")).where(F.size("n") > 0)
+    return rows.select("doc_id", F.array_join(F.array_sort("n"), " ").alias("numbers"), F.array_join(F.array_sort(F.array_distinct(F.transform("n", text.num_key))), " ").alias("num_keys"))
+
+
+@query(f"""WITH {PAIRS} SELECT query_id, s1_id, CASE WHEN q = s THEN 'equal' WHEN starts_with(q, s) OR ends_with(q, s) OR starts_with(s, q) OR ends_with(s, q) THEN 'compatible' ELSE 'conflict' END AS relation,
+  CAST(levenshtein(q, s) AS INTEGER) AS num_edit, round(ln(1 + abs(CAST(q AS BIGINT) - CAST(s AS BIGINT))), 6) AS num_logdiff FROM (SELECT *, CAST(num_q AS VARCHAR) AS q, CAST(num_s AS VARCHAR) AS s FROM pairs)""")
+def number_features(spark, sf):
+    q, s = F.array(F.col("num_q").cast("string")), F.array(F.col("num_s").cast("string"))
+    made = numbers.number_features(q, s)
+    relation = numbers.num_relation(numbers.main_number(q), numbers.main_number(s))
+    return candidate_pairs(spark, sf).select("query_id", "s1_id", relation.alias("relation"), made["num_edit"].alias("num_edit"), r6(made["num_logdiff"]).alias("num_logdiff"))
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(string_split(lower(regexp_replace(left(text, 120), '[^A-Za-z0-9]+', ' ', 'g')), ' '),
+  lambda t: CASE WHEN regexp_matches(t, '[a-z]') AND NOT regexp_matches(t, '^[0-9]+(st|nd|rd|th)$') THEN translate(t, '01354@', 'olesaa') ELSE t END), ' ') AS folded FROM documents""")
+def leet_fold(spark, sf):
+    words = F.split(F.lower(F.regexp_replace(F.substring("text", 1, 120), "[^A-Za-z0-9]+", " ")), " ")
+    return read(spark, sf, "documents").select("doc_id", F.array_join(F.transform(words, text.leet_fold), " ").alias("folded"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS words, CAST(len(list_filter(list_zip(w, [NULL] || w[:len(w) - 1]), lambda x: x[2] IS NULL OR x[1] <> x[2])) AS BIGINT) AS collapsed FROM t""")
+def dedupe_consecutive(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", text.tokens(F.lower("text"), "[a-z]+").alias("w"))
+    return rows.select("doc_id", F.size("w").cast("bigint").alias("words"), F.size(text.collapse_repeats(F.col("w"))).cast("bigint").alias("collapsed"))
+
+
+@query("""SELECT * FROM (VALUES ('123 Main St, Boston', '123 main street, boston', '123'), ('12 St Pierre, Lyon', '12 saint pierre, lyon', '12'), ('63 R. DE DIEPPE, LILLE', '63 rue de dieppe, lille', '63'),
+  ('607 VIRGINIA ST, PO BOX 2342, N/A, TERRELL, TX', '607 virginia street, terrell, tx', '607'), ('02007 Robyn Rd', '02007 robyn road', '007')) t(raw, addr_clean, keys)""")
+def addr_expand(spark, sf):
+    raw = ["123 Main St, Boston", "12 St Pierre, Lyon", "63 R. DE DIEPPE, LILLE", "607 VIRGINIA ST, PO BOX 2342, N/A, TERRELL, TX", "02007 Robyn Rd"]
+    rows = text.normalize_addresses(spark.createDataFrame([(x,) for x in raw], "raw string"), "raw")
+    keys = F.when(F.col("raw").startswith("0"), F.array_join("num_keys", " ")).otherwise(F.array_join("numbers", " "))
+    return rows.select("raw", "addr_clean", keys.alias("keys"))
+
+
+@query("""SELECT * FROM (VALUES ('Sharma Foods (Pvt) Ltd', 'sharma foods', 'PRIVATE_LIMITED'), ('Grain & Fils', 'grain', 'FILS'), ('springdalecity.com #39256', 'springdalecity', ''),
+  ('M/s Special India Traders', 'special india traders', ''), ('Hotel Constructions Pub Ltd', 'hotel constructions', 'PUBLIC_LIMITED')) t(raw, name_core, legal_form)""")
+def legal_forms(spark, sf):
+    raw = ["Sharma Foods (Pvt) Ltd", "Grain & Fils", "springdalecity.com #39256", "M/s Special India Traders", "Hotel Constructions Pub Ltd"]
+    return text.normalize_names(spark.createDataFrame([(x,) for x in raw], "raw string"), "raw").select("raw", "name_core", "legal_form")
+
+
+@query()
+def normalize_page_names(spark, sf):
+    rows = read(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return text.normalize_names(rows, "title").drop("title")
+
+
+@query("""SELECT p_partkey AS id, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda t: CASE t WHEN 'red' THEN 'rouge' WHEN 'blue' THEN 'bleu' WHEN 'green' THEN 'vert' ELSE t END), ' ') AS mapped FROM part""")
+def dictionary_map(spark, sf):
+    table = F.create_map(*[F.lit(x) for x in ("red", "rouge", "blue", "bleu", "green", "vert")])
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(text.replace_tokens(F.split(F.lower("p_name"), " "), table), " ").alias("mapped"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b, CAST(levenshtein(a.name, b.name) AS INTEGER) AS edits FROM n a JOIN n b ON left(a.name, 2) = left(b.name, 2) AND a.name < b.name""")
+def levenshtein_pairs(spark, sf):
+    n = read(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.substring("a", 1, 2))
+    return n.join(n.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b", F.levenshtein("a", "b").alias("edits"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b, round(jaro_winkler_similarity(a.name, b.name), 6) AS jw FROM n a JOIN n b ON left(a.name, 2) = left(b.name, 2) AND a.name < b.name""")
+def jaro_winkler_pairs(spark, sf):
+    n = read(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.substring("a", 1, 2))
+    pairs = n.join(n.withColumnRenamed("a", "b"), "k").where("a < b")
+    return pairs.select("a", "b", r6(kernels.pairwise(kernels.jaro_winkler)("a", "b")).alias("jw"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, ' ')) AS t FROM part)
+SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 6) AS jaccard FROM n a JOIN n b ON left(a.name, 2) = left(b.name, 2) AND a.name < b.name""")
+def token_jaccard(spark, sf):
+    n = read(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.substring("a", 1, 2)).withColumn("s", F.split("a", " "))
+    pairs = n.join(n.select("k", F.col("a").alias("b"), F.col("s").alias("t")), "k").where("a < b")
+    return pairs.select("a", "b", r6(F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t"))).alias("jaccard"))
+
+
+@query()
+def pair_similarity_bundle(spark, sf):
+    rows = read(spark, sf, "supplier").select("s_suppkey", "s_name", F.lead("s_name").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("other"))
+    return rows.select("s_suppkey", kernels.pair_similarities("s_name", "other", F.lit("1 main road"), "other").alias("x")).select("s_suppkey", "x.*")
+
+
+@query()
+def extra_words(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", kernels.extra_word_list("p_name", "p_type").alias("w"))
+    return rows.select("p_partkey", F.array_join("w", " ").alias("extra"))
+
+
+@query()
+def mined_dictionary(spark, sf):
+    rows = read(spark, sf, "part").select(F.explode(kernels.aligned_tokens("p_name", F.concat_ws(" ", F.lower("p_type"), F.lower("p_brand")))).alias("w")).select("w.x", "w.y")
+    return blocking.mine_dictionary(rows, least=2, purity=0.01)
+
+
+# ------------------------------------------------------------------ sampling, profiles and checks
+@query("""SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) <= floor(count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) * 0.15 + 0.5)
+  THEN 'val' ELSE 'train' END AS fold FROM customer""")
+def stratified_split(spark, sf):
+    return evaluation.stratified_split(read(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey", 0.15).select("c_custkey", "fold")
+
+
+@query("""WITH s AS (SELECT c_mktsegment, c_nationkey, count(*) AS size FROM customer GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER w AS rn, sum(size) OVER (PARTITION BY c_mktsegment) AS total FROM s
+  WINDOW w AS (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_nationkey AS VARCHAR)), c_nationkey))
+SELECT c_mktsegment, c_nationkey, size, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM r WHERE before < 0.2 * total""")
+def region_sample_folds(spark, sf):
+    return evaluation.sample_regions(read(spark, sf, "customer"), "c_mktsegment", "c_nationkey", 0.2, 5)
+
+
+@query(f"WITH {WORDS}, n AS (SELECT token, country, count(*) AS n FROM word_rows GROUP BY ALL), b AS (SELECT token, max({{'n': n, 'country': country}}) AS b, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY 1) SELECT token, b.country AS country, b.n AS n, total FROM b WHERE b.n >= 5 AND b.n >= 0.05 * total")
+def pure_votes(spark, sf):
+    rows = parts(spark, sf).select("country", F.explode(F.array_distinct("words")).alias("token"))
+    return evaluation.pure_votes(rows, "token", "country", 5, 0.05)
+
+
+@query(f"WITH {PAIRS} SELECT CAST(least(floor(base_score * 10), 9) AS INTEGER) AS bin, count(*) AS n FROM pairs GROUP BY 1")
+def histogram_p(spark, sf):
+    return evaluation.histogram(candidate_pairs(spark, sf), "base_score")
+
+
+@query("SELECT lang, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.9), 6) AS p90, max(n_chars) AS longest FROM documents GROUP BY 1")
+def quantiles(spark, sf):
+    return read(spark, sf, "documents").groupBy("lang").agg(r6(F.percentile("n_chars", 0.5)).alias("median"), r6(F.percentile("n_chars", 0.9)).alias("p90"), F.max("n_chars").alias("longest"))
+
+
+@query("SELECT lang, count(*) AS row_count, count(CASE WHEN text IS NULL OR text = '' THEN 1 END) AS empty_texts, round(100.0 * count(CASE WHEN regexp_matches(text, '[0-9]') THEN 1 END) / count(*), 4) AS with_digits FROM documents GROUP BY 1")
+def profile(spark, sf):
+    return read(spark, sf, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empty_texts"), F.round(100 * F.count_if(F.col("text").rlike("[0-9]")) / F.count(F.lit(1)), 4).alias("with_digits")
+    )
+
+
+@query(r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 25")
+def top_tokens(spark, sf):
+    rows = read(spark, sf, "documents").select(F.explode(text.tokens(F.lower("text"), "[a-z]+")).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(25)
+
+
+@query(f"""WITH {ENTITIES}, i AS (SELECT s1_id, query_id AS id FROM pred) SELECT * FROM (
+  SELECT 'repeated_key' AS finding, 0 AS rows UNION ALL SELECT 'missing_key', (SELECT count(*) FROM ent WHERE s1_id NOT IN (SELECT s1_id FROM pred))
+  UNION ALL SELECT 'stray_key', (SELECT count(DISTINCT s1_id) FROM pred WHERE s1_id NOT IN (SELECT s1_id FROM ent)) UNION ALL SELECT 'repeated_id_in_list', 0
+  UNION ALL SELECT 'id_in_two_lists', 0 UNION ALL SELECT 'unknown_id', (SELECT count(*) FROM i WHERE id NOT IN (SELECT query_id FROM truth)))""")
+def validate_submission(spark, sf):
+    entities, truth, predicted = truth_tables(spark, sf)
+    listed = predicted.groupBy("s1_id").agg(F.array_join(F.collect_set(F.col("query_id").cast("string")), ",").alias("ids"))
+    return evaluation.validate_submission(entities, listed, truth.select(F.col("query_id").cast("string").alias("id")).distinct())
+
+
+@query(f"""WITH {ENTITIES} SELECT count(CASE WHEN t.query_id IS NOT NULL AND p.query_id IS NOT NULL THEN 1 END) AS both, count(CASE WHEN p.query_id IS NULL THEN 1 END) AS only_a, count(CASE WHEN t.query_id IS NULL THEN 1 END) AS only_b,
+  round(count(CASE WHEN t.query_id IS NOT NULL AND p.query_id IS NOT NULL THEN 1 END) / count(*), 6) AS jaccard FROM truth t FULL JOIN pred p ON t.s1_id = p.s1_id AND t.query_id = p.query_id""")
+def compare_runs(spark, sf):
+    _, truth, predicted = truth_tables(spark, sf)
+    return evaluation.compare_runs(truth, predicted)
