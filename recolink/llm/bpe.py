@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recolink.llm.chunked import ChunkCache
+from recolink.llm.shared import bounded_batches
 
 #: A byte prefix longer than this is coded in an array of its own instead of the shared memo.
 MEMO_BYTES = 40
@@ -209,6 +210,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 rows.append((n, ids.hexdigest(), decoded.hexdigest()))
             yield pd.concat([batch[["id"]], pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index)], axis=1)
 
+    bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
         run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

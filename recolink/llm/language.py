@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recolink.llm.shared import bounded_batches
+
 #: Hash buckets of trigrams.
 BUCKETS = 8192
 #: Labelled rows that the trigram counts come from, on average at most.
@@ -122,6 +124,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     trigram counts (all, if they are no more). Null texts and texts without a letter are ``und`` with score 0, as is every text if
     there is nothing to learn from. Ties go to the language first in order. Repeated rows give repeated results.
     """
+    bounded_batches(docs)
     labelled = docs.where(learn & F.col(lang_col).isNotNull()).select(id_col, lang_col, text_col)
     known = labelled.count()
     share = int(min(1.0, train_rows / max(1, known)) * (1 << 30))

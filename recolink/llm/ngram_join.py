@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recolink.llm.components import components
-from recolink.llm.shared import discard, save
+from recolink.llm.shared import bounded_batches, save
 from recolink.llm.wordhash import Words, mixed
 
 WORDS, SIMILARITY = 5, 0.8
@@ -250,6 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     than n words is one n-gram of all of them; texts without words (null, empty, blank) share a set and link to
     nothing. Rows of one id with different texts are judged one by one. An empty table gives no rows.
     """
+    bounded_batches(docs)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     own = save(summaries(rows, n), "sets")
@@ -294,4 +295,3 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return flagged.where(F.col("__lead") | empty).select(*[docs[c] for c in docs.columns])
 
 
-__all__ = ["candidate_components", "discard", "keep_one", "near_duplicates", "ngram_set"]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recolink.llm.chunked import ChunkCache
-from recolink.llm.shared import discard, save
+from recolink.llm.shared import bounded_batches, discard, save
 
 #: Chunks in a generation of a worker's cache, and texts whose chunks are looked up together.
 CHUNK_ENTRIES, TEXTS = 800_000, 256
@@ -33,7 +33,7 @@ CHUNK_ENTRIES, TEXTS = 800_000, 256
 class ChunkTokenizer:
     """Ids of texts as little-endian unsigned 32-bit words, from a tokenizers file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CHUNK_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,7 +42,7 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank_first[[i for token, i in vocabulary.items() if token.startswith(blank)]] = True
-        self.cache = ChunkCache(self._encode, bytes.__add__, CHUNK_ENTRIES)
+        self.cache = ChunkCache(self._encode, bytes.__add__, entries)
 
     def _encode(self, strings: list[str]) -> list[bytes]:
         """A string of one blank and one word is encoded in a row with others: the id that starts with a blank starts the next."""
@@ -67,13 +67,13 @@ class ChunkTokenizer:
                 yield b"".join(values)
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
-    return _TOKENIZERS[path]
+def tokenizer(path: str, entries: int = CHUNK_ENTRIES) -> ChunkTokenizer:
+    if (path, entries) not in _TOKENIZERS:
+        _TOKENIZERS[path, entries] = ChunkTokenizer(path, entries)
+    return _TOKENIZERS[path, entries]
 
 
 def cut_lengths(n: int, size: int) -> list[int]:
@@ -172,11 +172,11 @@ def assign(items: DataFrame, size: int = 1024, per_partition: int = 60_000, roun
     return out.select("uid", "round", "part", "bin", "offset")
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_entries: int = CHUNK_ENTRIES) -> DataFrame:
     """One row per document: uid, id, n, crcs (one per piece) and, if asked for, the ids themselves."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = tokenizer(tokenizer_path), struct.pack("<I", end_id)
+        enc, end = tokenizer(tokenizer_path, cache_entries), struct.pack("<I", end_id)
         alone = TaskContext.get().partitionId() << 40  # numbers of the sequences that one full piece fills
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
@@ -201,14 +201,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int =
     return rows.mapInPandas(run, f"uid long, id {kind}, n long, crcs array<long>, alone long" + ", ids array<int>" * with_ids)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_partition: int = 60_000, rounds: int = 3, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_partition: int = 60_000, rounds: int = 3, with_ids: bool = False, cache_entries: int = CHUNK_ENTRIES) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]), one for each piece of each document.
 
     Null and empty texts are documents of the end id alone. Repeated rows are packed one by one. An empty table
     gives no pieces. Only the row numbers and lengths of open pieces are shuffled; one task packs at most about
     ``per_partition`` of them, whatever the sources are.
     """
-    cut = save(pieces(docs, tokenizer_path, size, end_id, id_col, text_col, with_ids), "pieces")
+    bounded_batches(docs)
+    cut = save(pieces(docs, tokenizer_path, size, end_id, id_col, text_col, with_ids, cache_entries), "pieces")
     first = F.col("n") % size
     items = cut.where(first > 0).select("uid", first.alias("length"))
     packed = save(assign(items, size, per_partition, rounds), "sequences")

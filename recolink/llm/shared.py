@@ -43,3 +43,14 @@ def discard(*tables: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of an Arrow batch of whole texts; the default of Spark would put some ten thousand of them into a worker at once.
+TEXT_BATCH = 2000
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batch size to TEXT_BATCH if it is larger. A setting of the session, as plans run later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_BATCH:
+        df.sparkSession.conf.set(key, str(TEXT_BATCH))

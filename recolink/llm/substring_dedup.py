@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recolink.llm.shared import discard, save
+from recolink.llm.shared import bounded_batches, discard, save
 from recolink.llm.wordhash import Words
 
 WINDOW, GRAM = 50, 25
@@ -188,6 +188,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and empty texts have no words; texts shorter than a window are left alone, as are repeats inside one document and
     among rows of one id. Rows that repeat id and text get equal results. A null id counts as the greatest.
     """
+    bounded_batches(docs)
     rows = keyed(docs, id_col, text_col)
     marks = save(fingerprints(rows, window, gram), "marks")
     index, shared = FingerprintIndex(), []

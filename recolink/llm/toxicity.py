@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recolink.llm.shared import discard, save
+from recolink.llm.shared import bounded_batches, discard, save
 
 #: Fixed lexicon: insults that need no label to be suspected.
 LEXICON = ["idiot", "moron", "stupid", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown"]
@@ -204,6 +204,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def learnt(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, train_rows: int) -> tuple[list[str], np.ndarray]:
     """Terms and weights from at most train_rows labelled rows, in the order of a hash of the id."""
+    bounded_batches(docs)
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
     some = known.where(learn).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
