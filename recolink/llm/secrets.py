@@ -189,12 +189,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """
     text = F.col(text_col).cast("string")
     has = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
-    found = scan(docs, id_col, text_col, path_col).where("is_secret").groupBy("key").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets"))
+    found = scan(docs, id_col, text_col, path_col).where("is_secret").groupBy(F.col("key").alias("__hit")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets"))
     rows = docs.where(has).withColumn("__key", F.xxhash64(F.col(id_col), text))
-    hit = rows.join(found, rows["__key"] == found["key"], "left")
+    hit = rows.join(found, rows["__key"] == found["__hit"], "left")
     clean = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col(text_col), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
     out = {text_col: clean}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("__secrets").isNotNull(), F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    changed = hit.withColumns(out).select(*docs.columns)
+    changed = hit.withColumns(out).select(*[f"`{c}`" for c in docs.columns])
     return docs.where(~has).unionByName(changed)
