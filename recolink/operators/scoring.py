@@ -53,8 +53,8 @@ def target_encoding(rows: DataFrame, token: str = "token", label: str = "label",
 
 
 def weight_grid(steps: int = 10) -> list[tuple[float, float, float]]:
-    """Weights on the simplex with positive first two, by tenths."""
-    return [(a / steps, b / steps, (steps - a - b) / steps) for a in range(1, steps) for b in range(1, steps - a + 1)]
+    """Weights that sum to one, in equal steps, the first of them positive."""
+    return [(a / steps, b / steps, (steps - a - b) / steps) for b in range(steps) for a in range(1, steps + 1 - b)]
 
 
 def best_prefix(probabilities, h: float | None, miss: float, t: float = 1.0, most: int = 12) -> int:

@@ -430,7 +430,7 @@ def target_encoding_oof(spark, sf):
     return scoring.target_encoding(rows).withColumn("score", r6("score"))
 
 
-@query(f"""WITH {SCORED}, g AS (SELECT a / 10.0 AS wn, b / 10.0 AS wa, (10 - a - b) / 10.0 AS wm FROM range(1, 10) t(a), range(1, 10) u(b) WHERE a + b <= 10),
+@query(f"""WITH {SCORED}, g AS (SELECT a / 10.0 AS wn, b / 10.0 AS wa, (10 - a - b) / 10.0 AS wm FROM range(1, 11) t(a), range(0, 10) u(b) WHERE a + b <= 10),
 s AS (SELECT wn, wa, query_id, s1_id, round(wn * name_tsort + wa * coalesce(addr_tsort, 0) + wm * compat, 6) AS score FROM scored, g WHERE query_id % 10 = 1),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY wn, wa, query_id ORDER BY score DESC, s1_id) = 1)
 SELECT CAST(wn AS DOUBLE) AS wn, CAST(wa AS DOUBLE) AS wa, count(CASE WHEN score >= 0.6400001 THEN 1 END) AS accepted, round(sum(score), 6) AS total FROM b GROUP BY ALL""")
