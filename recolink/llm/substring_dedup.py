@@ -160,7 +160,8 @@ def repeated_windows(suspects: DataFrame, window: int = WINDOW, gram: int = GRAM
     least = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least")
     single = windows.join(least.hint("merge"), "window").where("id > least").groupBy("hash", "digest").agg(F.collect_set("at").alias("at"))
     known = firsts.select("hash", "digest", F.col("id").alias("least")).join(single, ["hash", "digest"], "left")
-    met = places.join(known.hint("merge"), ["hash", "digest"])
+    # saved, so that both sides of the next join come straight from a shuffle and a passage's rows can be split
+    met = places.join(save(known, "known").hint("merge"), ["hash", "digest"])
     whole = F.col("id") > F.col("least")
     met = met.where(whole | F.col("at").isNotNull()).select(
         "key",
