@@ -169,14 +169,14 @@ def _run(classes: DataFrame, number: int) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         # saved, so that both sides of the join come straight from a shuffle and a hot path's rows can be split
-        met = save(level.join(save(sizes.where("lo < hi").select("path", "n"), "paths"), "path"), f"level{depth}")
+        met = save(level.join(save(sizes.where("lo < hi").select("path", "n"), "paths").hint("merge"), "path"), f"level{depth}")
         large = met.where(F.col("n") > LIMIT)
         if depth == DEPTH or large.isEmpty():
             done = met
         else:
             probe = save(large.groupBy("path").agg(F.min_by("sig", "cid").alias("probe")), "probes")
             equal = F.size(F.filter(F.zip_with("sig", "probe", lambda a, b: a == b), lambda x: x)) / F.lit(TOKENS)
-            close = large.join(probe, "path").groupBy("path").agg(F.avg(equal).alias("close"))
+            close = large.join(probe.hint("merge"), "path").groupBy("path").agg(F.avg(equal).alias("close"))
             loose = save(close.where(F.col("close") < CLOSE).select("path"), "loose")
             done = met.join(loose, "path", "left_anti")
         ready = done if ready is None else ready.unionByName(done)
