@@ -36,7 +36,15 @@ def op1(spark, sf_dir):
     )
 
 
-@query("op3_warc")
+@query("op3_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex, min(page_id) OVER (PARTITION BY b) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d""")
 def op3(spark, sf_dir):
     """pages written to WARC archives, normalised to one member per record, and read back by the index."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -90,13 +98,35 @@ def op9(spark, sf_dir):
     )
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS place, words FROM t),
+h AS (SELECT doc_id, place, sha256(array_to_string(words[place : place + 49], ' ')) AS digest FROM w),
+r AS (SELECT doc_id, place FROM (SELECT doc_id, place, min(doc_id) OVER (PARTITION BY digest) AS first FROM h) WHERE doc_id > first),
+gone AS (SELECT doc_id, list(DISTINCT covered) AS places FROM (SELECT doc_id, unnest(range(place, place + 50)) AS covered FROM r) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE
+         list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id)""")
 def op10(spark, sf_dir):
     """Words of every document that are not covered by a passage of an earlier one."""
     return substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
 
 
-@query("op7_ngram_jaccard_join")
+@query("op7_ngram_jaccard_join", r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1),
+        lambda i: array_to_string(words[i : i + 4], ' ')))) AS grams FROM t),
+s AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY grams) AS set_id, grams FROM g),
+c AS MATERIALIZED (SELECT set_id, len(grams) AS n, unnest(grams) AS gram FROM s WHERE doc_id = set_id),
+met AS (SELECT a.set_id AS u, b.set_id AS v, a.n + b.n AS n, count(*) AS common
+         FROM c a JOIN c b ON a.gram = b.gram AND a.set_id <> b.set_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT u, v FROM met WHERE 5 * common >= 4 * (n - common)),
+reach AS (SELECT u, v FROM link UNION SELECT reach.u, link.v FROM reach JOIN link ON reach.v = link.u),
+head AS (SELECT u, min(v) AS least FROM reach GROUP BY u),
+deg AS (SELECT u, count(*) AS n FROM link GROUP BY u)
+SELECT doc_id, least(set_id, coalesce(least, set_id)) AS class_id, set_id, coalesce(deg.n, 0) AS n_links
+FROM s LEFT JOIN head ON s.set_id = head.u LEFT JOIN deg ON s.set_id = deg.u""")
 def op7(spark, sf_dir):
     """Near-duplicate class, set and number of links of every document."""
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
