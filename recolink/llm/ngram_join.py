@@ -291,7 +291,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of docs that lead their group of near-duplicates; texts without words stay, and so do rows that repeat a leading id."""
     found = near_duplicates(docs, id_col, text_col)
     leads = found.where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__id")).distinct()
-    empty = F.length(F.trim(F.coalesce(F.col(text_col).cast("string"), F.lit("")))) == 0
+    empty = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     flagged = docs.join(leads.withColumn("__lead", F.lit(True)), docs[id_col].cast("long").eqNullSafe(leads["__id"]), "left")
     return flagged.where(F.col("__lead") | empty).select(*[f"`{c}`" for c in docs.columns])
 

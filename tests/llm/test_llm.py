@@ -280,11 +280,11 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
 
 
 def test_ngram_join_keeps_one(spark):
-    rows = near_copies(5) + [(1, None), (2, ""), (3, "other words entirely here now")]
+    rows = near_copies(5) + [(1, None), (2, ""), (3, "other words entirely here now"), (4, "\n"), (5, " \t\x0b ")]
     docs = make(spark, rows)
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    leads = {c for (_, c, _, _) in brute_join(rows)} | {1, 2}
+    leads = {c for (_, c, _, _) in brute_join(rows)} | {1, 2, 4, 5}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(leads)
     assert ngram_join.near_duplicates(make(spark, [])).count() == 0
     assert ngram_join.keep_one(make(spark, [])).count() == 0
