@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from recolink.llm.shared import save
 
 SPACES = r"[\x20\x09-\x0D]+"
+#: Leading hex digits of a digest that name its segment: 65,536 segments, so that the last run can fill as many tasks.
+SEGMENT_DIGITS = 4
 _KEY = ["__digest", "__length", "__check"]
 
 
@@ -34,7 +36,7 @@ def _merge(runs: DataFrame, run: Column, parts: int) -> DataFrame:
     """One round: runs with the same parent meet segment by segment, in digest order, and are combined."""
     met = (
         runs.withColumn("__run", run)
-        .withColumn("__segment", F.substring("__digest", 1, 2))
+        .withColumn("__segment", F.substring("__digest", 1, SEGMENT_DIGITS))
         .repartition(parts, "__run", "__segment")
         .sortWithinPartitions("__run", "__segment", *_KEY)
     )
