@@ -57,6 +57,19 @@ def weight_grid(steps: int = 10) -> list[tuple[float, float, float]]:
     return [(a / steps, b / steps, (steps - a - b) / steps) for b in range(steps) for a in range(1, steps + 1 - b)]
 
 
+def search_weights(pairs: DataFrame, name: str, addr: str, num: str, threshold: float, grid: list[tuple[float, float, float]] | None = None) -> DataFrame:
+    """wn, wa, accepted, total for each weighting: how many queries' best pairs reach the threshold, and the sum of their scores.
+
+    A query's best score under each weighting is one column of a single aggregation, so pairs are shuffled once whatever
+    the size of the grid, and only one row per query meets the weightings.
+    """
+    grid = weight_grid() if grid is None else grid
+    score = lambda a, b, c: F.round(a * F.col(name) + b * F.coalesce(addr, F.lit(0.0)) + c * F.col(num), 6)
+    best = pairs.groupBy("query_id").agg(*[F.max(score(*w)).alias(f"g{i}") for i, w in enumerate(grid)])
+    each = best.select(F.explode(F.array(*[F.struct(F.lit(a).alias("wn"), F.lit(b).alias("wa"), F.col(f"g{i}").alias("s")) for i, (a, b, _) in enumerate(grid)])).alias("g")).select("g.*")
+    return each.groupBy("wn", "wa").agg(F.count_if(F.col("s") >= threshold).alias("accepted"), F.round(F.sum("s"), 6).alias("total"))
+
+
 def best_prefix(probabilities, h: float | None, miss: float, t: float = 1.0, most: int = 12) -> int:
     """How many of the most likely matches to predict for the greatest expected F0.5.
 
@@ -127,3 +140,23 @@ def fit_gbt(rows: DataFrame, features: list[str], label: str = "label", trees: i
         GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.05, featureSubsetStrategy="0.8", seed=seed),
     ]
     return Pipeline(stages=stages).fit(rows)
+
+
+def predict(model, rows: DataFrame, out: str) -> DataFrame:
+    """rows with the model's probability of the positive class; the model's own columns go."""
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(rows).select(*[F.col(f"`{c}`") for c in rows.columns], vector_to_array("probability")[1].alias(out))
+
+
+def cross_validated(rows: DataFrame, features: list[str], out: str, label: str = "label", fold: str = "fold", folds: tuple[int, ...] = (1, 2, 3, 4), **options) -> DataFrame:
+    """rows with the probability from a model that has not seen their fold; rows of no such fold get the mean of all models."""
+    scored = rows
+    for k in folds:
+        model = fit_gbt(rows.where(F.col(fold).isin(*folds) & (F.col(fold) != k)), features, label, **options)
+        scored = predict(model, scored, f"__p{k}")
+    mean = sum((F.col(f"__p{k}") for k in folds), F.lit(0.0)) / len(folds)
+    own = F.lit(None).cast("double")
+    for k in folds:
+        own = F.when(F.col(fold) == k, F.col(f"__p{k}")).otherwise(own)
+    return scored.withColumn(out, F.coalesce(own, mean)).drop(*[f"__p{k}" for k in folds])

@@ -431,17 +431,11 @@ def target_encoding_oof(spark, sf):
 
 
 @query(f"""WITH {SCORED}, g AS (SELECT a / 10.0 AS wn, b / 10.0 AS wa, (10 - a - b) / 10.0 AS wm FROM range(1, 11) t(a), range(0, 10) u(b) WHERE a + b <= 10),
-s AS (SELECT wn, wa, query_id, s1_id, round(wn * name_tsort + wa * coalesce(addr_tsort, 0) + wm * compat, 6) AS score FROM scored, g WHERE query_id % 10 = 1),
-b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY wn, wa, query_id ORDER BY score DESC, s1_id) = 1)
+b AS (SELECT wn, wa, query_id, max(round(wn * name_tsort + wa * coalesce(addr_tsort, 0) + wm * compat, 6)) AS score FROM scored, g GROUP BY ALL)
 SELECT CAST(wn AS DOUBLE) AS wn, CAST(wa AS DOUBLE) AS wa, count(CASE WHEN score >= 0.6400001 THEN 1 END) AS accepted, round(sum(score), 6) AS total FROM b GROUP BY ALL""")
 def grid_search_weights(spark, sf):
-    """Each weighting's one-to-one choice, with the parameters as a small table beside the pairs; every tenth query is the operator's own sample."""
-    pairs = scored_pairs(spark, sf).where("query_id % 10 = 1")
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("wn"), F.lit(b).alias("wa"), F.lit(c).alias("wm")) for a, b, c in scoring.weight_grid()]))
-    rows = pairs.withColumn("g", grid).select("query_id", "s1_id", "g.*", "name_tsort", "addr_tsort", "compat")
-    rows = rows.withColumn("score", r6(F.col("wn") * F.col("name_tsort") + F.col("wa") * F.coalesce("addr_tsort", F.lit(0.0)) + F.col("wm") * F.col("compat")))
-    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("wn", "wa", "query_id").orderBy(F.desc("score"), "s1_id"))).where("r = 1")
-    return best.groupBy("wn", "wa").agg(F.count_if(F.col("score") >= 0.6400001).alias("accepted"), r6(F.sum("score")).alias("total"))
+    """What each weighting's one-to-one choice accepts. One shuffle of the pairs: every weighting is a column of the same aggregation."""
+    return scoring.search_weights(scored_pairs(spark, sf), "name_tsort", "addr_tsort", "compat", 0.6400001)
 
 
 @query(f"WITH {PAIRS}, b AS (SELECT ntile(50) OVER (ORDER BY base_score, query_id, s1_id) AS bin, base_score, extra_q FROM pairs) SELECT CAST(bin AS INTEGER) AS bin, round(avg(base_score), 6) AS mean_p, round(avg(CAST(extra_q = 0 AS INTEGER)), 6) AS mean_label, count(*) AS n FROM b GROUP BY 1")
@@ -456,15 +450,19 @@ def expected_f05_decode(spark, sf):
     return scoring.decode(pairs, pairs.groupBy("s1_id").agg(F.max("p").alias("h")))
 
 
+STAGE1 = ["name_tsort", "addr_tsort", "base_score", "num_q", "num_s"]
+
+
+def _labelled_pairs(spark, sf):
+    rows = scored_pairs(spark, sf).withColumn("label", (F.col("num_q") % 3 == 0).cast("int")).withColumn("fold", (F.col("query_id") % 5).cast("int"))
+    return rows.select("query_id", "s1_id", "label", "fold", *[F.col(c).cast("double") for c in STAGE1])
+
+
 @query()
 def stage1_gbt(spark, sf):
-    rows = scored_pairs(spark, sf).withColumn("label", (F.col("num_q") % 3 == 0).cast("int"))
-    columns = ["name_tsort", "addr_tsort", "base_score", "num_q", "num_s"]
-    rows = rows.select("query_id", "s1_id", "label", *[F.col(c).cast("double") for c in columns])
-    from pyspark.ml.functions import vector_to_array
-
-    model = scoring.fit_gbt(rows.where("query_id % 5 <> 0"), columns, trees=8, depth=4)
-    return model.transform(rows.where("query_id % 5 = 0")).select("query_id", "s1_id", "label", r6(vector_to_array("probability")[1]).alias("p1"))
+    """Out-of-fold probabilities of every pair; fold 0 gets the mean of the models."""
+    rows = scoring.cross_validated(_labelled_pairs(spark, sf), STAGE1, "p1", trees=8, depth=4)
+    return rows.select("query_id", "s1_id", "label", r6("p1").alias("p1"))
 
 
 @query()
@@ -490,10 +488,10 @@ def number_features(spark, sf):
     return candidate_pairs(spark, sf).select("query_id", "s1_id", relation.alias("relation"), made["num_edit"].alias("num_edit"), r6(made["num_logdiff"]).alias("num_logdiff"))
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(string_split(lower(regexp_replace(left(text, 120), '[^A-Za-z0-9]+', ' ', 'g')), ' '),
+@query("""SELECT doc_id, array_to_string(list_transform(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '),
   lambda t: CASE WHEN regexp_matches(t, '[a-z]') AND NOT regexp_matches(t, '^[0-9]+(st|nd|rd|th)$') THEN translate(t, '01354@', 'olesaa') ELSE t END), ' ') AS folded FROM documents""")
 def leet_fold(spark, sf):
-    words = F.split(F.lower(F.regexp_replace(F.substring("text", 1, 120), "[^A-Za-z0-9]+", " ")), " ")
+    words = F.split(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), " ")
     return read(spark, sf, "documents").select("doc_id", F.array_join(F.transform(words, text.leet_fold), " ").alias("folded"))
 
 
