@@ -160,3 +160,10 @@ def cross_validated(rows: DataFrame, features: list[str], out: str, label: str =
     for k in folds:
         own = F.when(F.col(fold) == k, F.col(f"__p{k}")).otherwise(own)
     return scored.withColumn(out, F.coalesce(own, mean)).drop(*[f"__p{k}" for k in folds])
+
+
+def importance(spark, model, features: list[str]) -> DataFrame:
+    """feature and percent of a pipeline of fit_gbt; the vector holds each feature and the mark of its absence."""
+    gains = model.stages[-1].featureImportances.toArray().reshape(len(features), 2).sum(axis=1)
+    total = float(gains.sum()) or 1.0
+    return spark.createDataFrame([(f, round(100 * float(g) / total, 4)) for f, g in zip(features, gains)], "feature string, percent double")

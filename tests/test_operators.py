@@ -9,8 +9,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from recolink.operators import blocking, evaluation, features, scoring
-from recolink.plans import catalogue
+from recolink.operators import blocking, diagnostics, evaluation, features, scoring
+from recolink.plans import catalogue, reports  # noqa: F401
 from recolink.sources import tables
 from recolink.streaming import resolver
 
@@ -177,6 +177,45 @@ def plain(row):
     return tuple(repr(float(x)) if isinstance(x, float) else str(x) for x in row)
 
 
+def test_joined_once(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    right = spark.createDataFrame([(1, "c"), (2, "d"), (3, "e")], "k int, y string")
+    assert sorted(tuple(r) for r in diagnostics.joined_once(left, right, "k").collect()) == [(1, "a", "c"), (2, "b", "d")]
+    for wrong in (right.where("k <> 2"), right.unionByName(right.where("k = 1"))):
+        with pytest.raises(Exception, match="not one to one"):
+            diagnostics.joined_once(left, wrong, "k").collect()
+
+
+def test_balance_fails_on_a_gap(spark):
+    rows = [("fr", "train", i % 2) for i in range(20)] + [("fr", "val", i % 2) for i in range(4)]
+    entities = spark.createDataFrame(rows, "country string, fold string, n_matches int")
+    diagnostics.assert_balanced(entities)
+    with pytest.raises(ValueError, match="not balanced"):
+        diagnostics.assert_balanced(entities.unionByName(spark.createDataFrame([("fr", "val", 9)], entities.schema)))
+
+
+def test_rescue_needs_a_compatible_mate(spark):
+    rows = [(1, 7, 0.9, True, True, "acme", "road", 5), (2, 7, 0.5, True, False, "acme", "road", 5), (3, 7, 0.5, True, False, "acme", "road", 6),
+            (4, 7, 0.5, True, False, "acme", "road", None), (5, 7, 0.1, True, False, "acme", "road", 5), (6, 8, 0.5, True, False, "acme", "road", 5)]
+    pairs = spark.createDataFrame(rows, "query_id long, s1_id long, p double, kept boolean, selected boolean, name string, addr string, number int")
+    assert sorted(r.query_id for r in diagnostics.rescue(pairs, reports.edit_similarity).collect()) == [2, 4]
+
+
+def test_cross_validation_holds_folds_out(spark):
+    """A label that one fold alone flips is learnt from the others, so the flipped fold is predicted wrongly."""
+    rows = [(i, float(i % 2), int((i % 2) ^ (i % 5 == 3)), i % 5) for i in range(400)]
+    data = spark.createDataFrame(rows, "id long, x double, label int, fold int")
+    got = {r.id: r.p for r in scoring.cross_validated(data, ["x"], "p", trees=5, depth=2).collect()}
+    assert len(got) == 400
+    assert all((got[i] > 0.5) == bool(x) for i, x, _, f in rows if f in (0, 3))
+
+
+def test_empty_tables_give_no_rows(spark):
+    pairs = spark.createDataFrame([], "query_id long, s1_id long, p double, label int, kept boolean, selected boolean, name string, addr string, source string, number int")
+    assert diagnostics.missed_pairs(pairs).count() == diagnostics.rescue(pairs, reports.edit_similarity).count() == 0
+    assert diagnostics.closest_sibling(pairs, pairs, reports.edit_similarity).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SMALL)
