@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recolink.llm.chunked import ChunkCache
+from recolink.llm.chunked import ChunkCache, spelled
 from recolink.llm.shared import bounded_batches
 
 #: A byte prefix longer than this is coded in an array of its own instead of the shared memo.
@@ -168,7 +168,7 @@ class CachedEncoder:
 
     def __init__(self, coder: PrefixCoder, pattern: str):
         self.coder, self.find = coder, regex.compile(pattern).findall
-        self.cache = ChunkCache(lambda xs: list(map(self._chunk, xs)), lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), CHUNK_ENTRIES)
+        self.cache = ChunkCache(lambda keys: [self._chunk(spelled(k)) for k in keys], lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), CHUNK_ENTRIES)
 
     def _chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
         ids = [i for piece in self.find(chunk) for i in self.coder.encode(piece.encode("utf-8", "surrogatepass"))]

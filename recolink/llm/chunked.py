@@ -20,6 +20,8 @@ _TWO_SPACES = re.compile(r"\s\s").search
 _BEFORE_BLANK = regex.compile(r"(?= \S)")
 #: Longer chunks are not kept.
 KEEP_CHARS = 48
+#: What a chunk ends in that has full stops or commas behind its word.
+_STOPS = frozenset(".,")
 
 
 def spelled(key) -> str:
@@ -35,7 +37,7 @@ def keys_of(text: str) -> list:
 
 
 class ChunkCache:
-    """encode: strings -> one value each; join: two values -> the value of the strings' concatenation.
+    """encode: chunk keys -> one value each; join: two values -> the value of the chunks' concatenation.
 
     Two generations of at most ``entries`` chunks each: when the young one is full it becomes the old one, whose chunks
     move back when met again. So memory is bounded, and frequent chunks stay.
@@ -48,8 +50,8 @@ class ChunkCache:
         """For each text the values of its chunks in order; unseen chunks of all texts are encoded in one call."""
         if len(self.seen) > self.entries:
             self.old, self.seen = self.seen, {}
-        seen, old = self.seen, self.old
-        out, need, waiting = [], {}, []
+        seen, known = self.seen, self.old.get
+        out, need, waiting, joined = [], {}, [], []
         for text in texts:
             keys = keys_of(text)
             got = list(map(seen.get, keys))
@@ -60,28 +62,37 @@ class ChunkCache:
                     at = got.index(None, at + 1)
                 except ValueError:
                     break  # no more unseen ones in this text
-                key = word = keys[at]
-                if key in old:
-                    got[at] = seen[key] = old[key]
+                key = keys[at]
+                value = known(key)
+                if value is not None:
+                    got[at] = seen[key] = value
                     continue
-                tail = None
-                if type(key) is str:
-                    bare = key.rstrip(".,")
-                    if bare and len(bare) < len(key) and bare[-1].isalpha():
-                        word, tail = bare, (key[len(bare) :],)
-                        if word not in seen and word in old:
-                            seen[word] = old[word]
+                if key[-1:] in _STOPS and type(key) is str:
+                    word = key.rstrip(".,")
+                    if word and word[-1].isalpha():
+                        tail = (key[len(word) :],)
+                        for part in (word, tail):
+                            if part not in seen:
+                                value = known(part)
+                                if value is None:
+                                    need[part] = None
+                                else:
+                                    seen[part] = value
                         if word in seen and tail in seen:
                             got[at] = seen[key] = self.join(seen[word], seen[tail])
-                            continue
-                        if tail not in seen:
-                            need[tail] = None
-                if word not in seen:
-                    need[word] = None
-                waiting.append((got, at, word, tail))
-        fresh = dict(zip(need, self.encode([spelled(k) for k in need]))) if need else {}
-        for got, at, word, tail in waiting:
-            value = fresh[word] if word in fresh else seen[word]
-            got[at] = value if tail is None else self.join(value, fresh[tail] if tail in fresh else seen[tail])
-        seen.update((k, v) for k, v in fresh.items() if len(k if type(k) is str else k[0]) <= KEEP_CHARS)
+                        else:
+                            joined.append((got, at, word, tail))
+                        continue
+                need[key] = None
+                waiting.append((got, at, key))
+        if need:
+            fresh = dict(zip(need, self.encode(list(need))))
+            for got, at, key in waiting:
+                got[at] = fresh[key]
+            for got, at, word, tail in joined:
+                got[at] = self.join(fresh[word] if word in fresh else seen[word], fresh[tail] if tail in fresh else seen[tail])
+            seen.update(fresh)
+            for key in need:
+                if len(key if type(key) is str else key[0]) > KEEP_CHARS:
+                    del seen[key]
         return out

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recolink.llm.chunked import ChunkCache
+from recolink.llm.chunked import ChunkCache, spelled
 from recolink.llm.shared import bounded_batches, discard, save
 
 #: Chunks in a generation of a worker's cache, and texts whose chunks are looked up together.
@@ -44,20 +44,21 @@ class ChunkTokenizer:
         self.blank_first[[i for token, i in vocabulary.items() if token.startswith(blank)]] = True
         self.cache = ChunkCache(self._encode, bytes.__add__, entries)
 
-    def _encode(self, strings: list[str]) -> list[bytes]:
-        """A string of one blank and one word is encoded in a row with others: the id that starts with a blank starts the next."""
-        out: list = [None] * len(strings)
-        words = [i for i, x in enumerate(strings) if x[:1] == " " and x[1:].isalnum()]
-        others = sorted(set(range(len(strings))) - set(words))
+    def _encode(self, keys: list) -> list[bytes]:
+        """Chunks of one blank and one word are encoded in a row with others: the id that starts with a blank starts the next."""
+        out: list = [None] * len(keys)
+        words, others = [], []
+        for i, key in enumerate(keys):
+            (words if type(key) is str and key.isalnum() else others).append(i)
         for at in range(0, len(words), 5_000):
             some = words[at : at + 5_000]
-            ids = np.array(self.tokenizer.encode("".join(strings[i] for i in some), add_special_tokens=False).ids, "<u4")
-            starts, raw = np.flatnonzero(self.blank_first[ids]) * 4, ids.tobytes()
-            for i, start, stop in zip(some, starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True):
+            ids = np.array(self.tokenizer.encode(" " + " ".join([keys[i] for i in some]), add_special_tokens=False).ids, "<u4")
+            starts, raw = (np.flatnonzero(self.blank_first[ids]) * 4).tolist(), ids.tobytes()
+            for i, start, stop in zip(some, starts, [*starts[1:], len(raw)], strict=True):
                 out[i] = raw[start:stop]
         for at in range(0, len(others), 20_000):
             some = others[at : at + 20_000]
-            for i, enc in zip(some, self.tokenizer.encode_batch_fast([strings[i] for i in some], add_special_tokens=False)):
+            for i, enc in zip(some, self.tokenizer.encode_batch_fast([spelled(keys[i]) for i in some], add_special_tokens=False)):
                 out[i] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
         return out
 
