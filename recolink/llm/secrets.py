@@ -1,6 +1,7 @@
 """Secret scanning with a random forest that removes false findings (DataFrame functions and MLlib only).
 
-One pattern proposes candidates: a value assigned to a telling name, the head
+One pattern proposes candidates: a value assigned to a telling name (also inside
+a longer identifier, as in env files, URLs and code), the head
 of a private key, or a long run of key characters with a digit. Each candidate
 is described by its length, its changes between character classes, its share
 of dictionary words, its path and the words beside it. A random forest trained
@@ -21,16 +22,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed patterns and word lists.
-NAMES = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth|credential)"
-CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_=\-])(?:"
+NAMES = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth(?!or)|credential)"
+#: An identifier with a telling name in it ("author" is none), a sign, and no value yet; the name may have a prefix and a suffix.
+ASSIGN = (
+    r"[A-Za-z0-9_\-]{0,64}?"
     + NAMES
-    + r"""["']?[ \t]{0,3}[:=][ \t]{0,3}["']?[^\s"',;]{6,}"""
+    + r"""s?(?:[_\-0-9A-Z][A-Za-z0-9_\-]{0,64}+)?["']?[ \t]{0,3}[:=][ \t]{0,3}["']?"""
+)
+#: Formats that tell by themselves, and those that only tell at the start of a path part.
+FORMATS = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|xox[abprs]-|AIza)[A-Za-z0-9_\-]{20,}|[spr]k_(?:live|test)_[A-Za-z0-9_\-]{16,})"
+CANDIDATE = (
+    r"(?:(?<![A-Za-z0-9_\-])"
+    + ASSIGN
+    # a value ends where the next parameter of a URL begins
+    + r"""(?!-----BEGIN )(?:(?!&[A-Za-z0-9_.\-]{1,40}=)[^\s"',;]){6,}+"""
     + r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    + r"|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|xox[abprs]-|sk-|AIza|eyJ)[A-Za-z0-9_\-]{20,}"
-    + r"|(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{16,}={0,2})"
+    + r"|(?<![A-Za-z0-9])"
+    + FORMATS
+    + r"|(?<![A-Za-z0-9+/\-])(?:sk-|eyJ)[A-Za-z0-9_\-]{20,}"
+    # a run of key characters leaves a format behind '_' in it to the branch above, and '=' to what is assigned to it
+    + r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])(?![A-Za-z0-9+/_\-]{0,64}?_"
+    + FORMATS
+    + r")[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/_\-=]))?)"
 )
-ASSIGNED = "^" + NAMES + r"""["']?[ \t]{0,3}[:=][ \t]{0,3}["']?(.+)$"""
+ASSIGNED = "^" + ASSIGN + "(.+)$"
 KINDS = [
     ("private_key", r"^-----BEGIN"),
     ("aws_key_id", r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"),
