@@ -1,8 +1,8 @@
 """Secret scanning with a random forest that removes false findings (DataFrame functions and MLlib only).
 
 One pattern proposes candidates: a value assigned to a telling name (also inside
-a longer identifier, as in env files, URLs and code), the head
-of a private key, or a long run of key characters with a digit. Each candidate
+a longer identifier, as in env files, URLs and code), a
+private key, or a long run of key characters with a digit. Each candidate
 is described by its length, its changes between character classes, its share
 of dictionary words, its path and the words beside it. A random forest trained
 on labelled findings decides. ``labelled_findings`` makes such a set by rule
@@ -29,6 +29,14 @@ ASSIGN = (
     + NAMES
     + r"""s?(?:[_\-0-9A-Z][A-Za-z0-9_\-]{0,64}+)?["']?[ \t]{0,3}[:=][ \t]{0,3}["']?"""
 )
+#: A private key from its BEGIN line through the END line of the same name; without that line, its headers and base64 lines.
+_BREAK = r"(?:\s|\\[nr]){1,40}+"
+PRIVATE_KEY = (
+    r"-----BEGIN (?<label>[A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?)-----(?:"
+    + r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \k<label>-----"
+    + r"|(?:" + _BREAK + r"[A-Za-z\-]{1,40}: [^\r\n]{0,200})*+"
+    + r"(?:(?:" + _BREAK + r"[A-Za-z0-9+/]{16,}+={0,2})++(?:" + _BREAK + r"(?:[A-Za-z0-9+/]{1,15}={1,2}|=[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{1,15}(?=[ \t]*(?:[\r\n]|$)))){0,2}+)?+)"
+)
 #: Formats that tell by themselves, and those that only tell at the start of a path part.
 FORMATS = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|xox[abprs]-|AIza)[A-Za-z0-9_\-]{20,}|[spr]k_(?:live|test)_[A-Za-z0-9_\-]{16,})"
 CANDIDATE = (
@@ -36,7 +44,8 @@ CANDIDATE = (
     + ASSIGN
     # a value ends where the next parameter of a URL begins
     + r"""(?!-----BEGIN )(?:(?!&[A-Za-z0-9_.\-]{1,40}=)[^\s"',;]){6,}+"""
-    + r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    + r"|"
+    + PRIVATE_KEY
     + r"|(?<![A-Za-z0-9])"
     + FORMATS
     + r"|(?<![A-Za-z0-9+/\-])(?:sk-|eyJ)[A-Za-z0-9_\-]{20,}"
@@ -118,6 +127,10 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
     cut = lambda text, least, most: F.substring(text, F.lit(1), (F.lit(least) + F.pmod(F.xxhash64(n, F.lit(9)), F.lit(most - least + 1))).cast("int"))
     name = pick(["password", "PASSWORD", "pwd", "passwd", "secret", "token", "api_key", "API-KEY", "access_key", "auth"], 1)
     sign = pick(["=", ": ", " = ", " = \"", "=\"", ": '"], 2)
+    key_name = pick(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK"], 14)
+    key_lines = F.concat(F.lit("\n"), F.array_join(F.array_repeat(F.substring(plain, 1, 64), F.pmod(F.xxhash64(n, F.lit(15)), F.lit(26)).cast("int")), "\n"))
+    # whole keys, keys cut off before their END line, and the BEGIN line alone
+    key_body = F.element_at(F.array(F.concat(key_lines, F.lit("\n-----END "), key_name, F.lit("-----")), key_lines, F.lit("")), (F.pmod(F.xxhash64(n, F.lit(16)), F.lit(3)) + 1).cast("int"))
     secrets = [
         F.concat(F.lit("AKIA"), mix),
         F.concat(name, sign, cut(hexed, 12, 40)),
@@ -126,7 +139,7 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
         F.concat(F.lit("ghp_"), F.substring(plain, 1, 36)),
         F.concat(pick(["sk-", "sk_live_", "pk_live_", "rk_live_"], 3), cut(plain, 24, 48)),
         F.concat(pick(["xoxb-", "xoxp-"], 4), F.lit("2048319"), F.lit("-"), cut(plain, 20, 30)),
-        F.lit("-----BEGIN RSA PRIVATE KEY-----"),
+        F.concat(F.lit("-----BEGIN "), key_name, F.lit("-----"), key_body),
         F.concat(F.lit("eyJ"), cut(plain, 30, 70)),
         F.concat(F.lit("AIza"), F.substring(plain, 1, 35)),
         cut(plain, 32, 60),
