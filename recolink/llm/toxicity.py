@@ -35,8 +35,10 @@ PATTERNS = {
     "masked": r"\b\w+\*{2,}\w*\b",
     "address": r"\b(?:you|u)(?:'re| are)? (?:an? )?(?:such |total |complete )?(?:idiot|moron|loser|clown)\b",
 }
-#: Labelled rows learnt from, at most; terms looked at and terms kept, at most.
-TRAIN_ROWS, LOOKED_AT, KEPT = 12_000, 6000, 500
+#: Labelled rows learnt from, and terms kept, at most.
+TRAIN_ROWS, KEPT = 12_000, 500
+#: Odds of a term in toxic rows from which it is kept, and terms that a task counts at once before it gives them out.
+ODDS, COUNTED = 8, 200_000
 #: Lengths of word beginnings that are terms.
 PREFIXES = (4, 5, 6, 7)
 LABEL_ACCURACY = 0.95
@@ -102,23 +104,37 @@ def _features(text: str | None, finder: TermFinder, n_terms: int) -> list[int]:
     return sorted(finder.find(text)) + [n_terms + i for i, p in enumerate(_PATTERNS) if p.search(text)]
 
 
-def _count(rows: DataFrame, terms: list[str] | None) -> DataFrame:
-    """Documents of each class with each term (all terms if none are given), counted per partition, then summed."""
+def _count(rows: DataFrame) -> DataFrame:
+    """Documents of each class with each term, counted per partition (some terms at a time), then summed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        finder = TermFinder(terms) if terms is not None else None
+
+        def given_out() -> Iterator[pd.DataFrame]:
+            names = list(count[0].keys() | count[1].keys())
+            for at in range(0, len(names), 50_000):
+                some = names[at : at + 50_000]
+                yield pd.DataFrame({"term": pd.Series(some, dtype=object), "clean": [count[0][x] for x in some], "toxic": [count[1][x] for x in some]})
+            for counter in count.values():
+                counter.clear()
+
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                count[int(toxic)].update(terms_of(text or "") if finder is None else [terms[i] for i in finder.find(text or "")])
-        names = list(count[0].keys() | count[1].keys())
-        for at in range(0, len(names), 50_000):
-            some = names[at : at + 50_000]
-            yield pd.DataFrame({"term": pd.Series(some, dtype=object), "clean": [count[0][x] for x in some], "toxic": [count[1][x] for x in some]})
+                count[int(toxic)].update(terms_of(text or ""))
+                if len(count[0]) + len(count[1]) > COUNTED:
+                    yield from given_out()
+        yield from given_out()
 
     return rows.mapInPandas(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
+def telling(rows: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """term, clean, toxic, odds and gain of every term that is frequent enough in toxic rows and has the odds, however rare it is among all."""
+    least = max(2, n_toxic // 200)
+    odds = ((F.col("toxic") + 0.5) / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
+    return _count(rows).where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= ODDS).withColumn("gain", F.col("toxic") * F.log("odds"))
+
+
 def cliques(votes: np.ndarray, label: np.ndarray, least: float = 0.6) -> list[np.ndarray]:
     """Voters joined where they correlate by at least ``least`` within the suspected class; each clique votes as any of its members."""
     inside = votes[label > 0.5].astype(np.float32)
@@ -179,14 +195,9 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     lexicon = [f"={w}" for w in LEXICON]
     if not n or not n_toxic or n_toxic == n:
         return lexicon, np.array([3.0] * len(lexicon) + [0.5] * len(_PATTERNS) + [-3.0])
-    least = max(2, n_toxic // 200)
-    looked = _count(rows.where("toxic = 1"), None).where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "term").limit(LOOKED_AT)
-    names = [r.term for r in looked.select("term").collect()]
-    counted = _count(rows, sorted({*names, *lexicon})).toPandas()
-    odds = ((counted["toxic"] + 0.5) / n_toxic) / ((counted["clean"] + 0.5) / (n - n_toxic))
-    counted = counted.assign(odds=odds)[(odds >= 8) & (counted["toxic"] >= least)]
-    counted = counted.assign(gain=counted["toxic"] * np.log(counted["odds"])).sort_values(["gain", "term"], ascending=[False, True]).head(KEPT)
-    terms = sorted({*counted["term"], *lexicon})
+    kept = telling(rows, n_toxic, n - n_toxic).orderBy(F.desc("gain"), "term").limit(KEPT)
+    names = [r.term for r in kept.select("term").collect()]
+    terms = sorted({*names, *lexicon})
     width = len(terms) + len(_PATTERNS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

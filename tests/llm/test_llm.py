@@ -357,6 +357,16 @@ def test_toxicity_learns_and_generalises(spark):
     assert kept.columns == docs.columns and kept.count() == 304 - 61
 
 
+def test_toxicity_mines_terms_behind_frequent_ones(spark):
+    # 7000 ordinary words stand in more toxic rows than the telling one, and in all clean rows too
+    ordinary = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(7000))
+    rows = [(ordinary + (" zzfoulword" if i < 6 else ""), 1) for i in range(12)] + [(ordinary, 0)] * 60
+    df = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    found = {r.term: (r.clean, r.toxic) for r in toxicity.telling(df, 12, 60).collect()}
+    assert found["=zzfoulword"] == (0, 6) and "=aaaa" not in found
+    assert "=zzfoulword" in toxicity.train(df)[0]
+
+
 def test_toxicity_without_labels(spark):
     docs = make(spark, [(1, "you idiot moron"), (2, "hello")])
     got = {r.id: r.score for r in toxicity.score(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)).collect()}
