@@ -31,8 +31,8 @@ def op1(spark, sf_dir):
     """Exact duplicates of documents: which row of each group of equal texts stays."""
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select(
-        F.col("__id").alias("doc_id"), F.col("__keep").alias("keep_id"), F.col("__size").cast("long").alias("group_size"),
-        F.col("__id").eqNullSafe(F.col("__keep")).alias("kept"), F.col("__digest").alias("text_sha256"),
+        F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").cast("long").alias("group_size"),
+        F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("digest").alias("text_sha256"),
     )
 
 
