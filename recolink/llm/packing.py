@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,13 +32,20 @@ CHUNK_ENTRIES, TEXTS = 800_000, 256
 
 
 class ChunkTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit words, from a tokenizers file."""
+    """Ids of texts as little-endian unsigned 32-bit words, from a tokenizers file.
+
+    The string of a special token in a text is that token, as the library has it; texts are cut there, as chunks must not hold it.
+    """
 
     def __init__(self, path: str, entries: int = CHUNK_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().items())
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added):
+            raise ValueError("added tokens that take in their surroundings aren't supported")
+        self.special = {t.content: struct.pack("<I", i) for i, t in added}
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")").split if added else None
         blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         vocabulary = self.tokenizer.get_vocab()
         self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -64,8 +72,14 @@ class ChunkTokenizer:
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), TEXTS):
-            for values in self.cache.values(texts[at : at + TEXTS]):
-                yield b"".join(values)
+            some = texts[at : at + TEXTS]
+            if not any(x in text for x in self.special for text in some):
+                yield from map(b"".join, self.cache.values(some))
+                continue
+            cut = [self.cut(text) for text in some]  # every second part is a special token
+            values = iter(self.cache.values([part for parts in cut for part in parts[::2]]))
+            for parts in cut:
+                yield b"".join(self.special[part] if i % 2 else b"".join(next(values)) for i, part in enumerate(parts))
 
 
 _TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
