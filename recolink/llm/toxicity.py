@@ -3,10 +3,13 @@
 1. Terms (words and word beginnings) that occur in labelled toxic rows and
    hardly elsewhere are mined; together with a short fixed lexicon and a few
    patterns they are voters, which vote toxic or abstain.
-2. A generative label model estimates how often each voter votes in toxic and
-   in clean documents. Voters that vote together within a class are put in one
-   clique, which counts once. The labels of the training rows are one more
-   voter of given accuracy. EM gives each training row a posterior label.
+2. A generative label model with the true class as its hidden variable: the
+   voters' accuracies and their correlations within a class are its parameters.
+   The correlations form a forest of the strongest dependences (most mutual
+   information given the class); a voter's rates depend on the class and on
+   what its parent votes, so a repeated signal counts once. The labels of the
+   training rows are one more voter, whose accuracy is estimated like the
+   others'. EM fits all of it and gives each training row a posterior label.
 3. A logistic regression on the terms and patterns is trained on the posterior
    labels, and scores every whole text.
 """
@@ -41,7 +44,8 @@ TRAIN_ROWS, KEPT = 12_000, 500
 ODDS, COUNTED = 8, 200_000
 #: Lengths of word beginnings that are terms.
 PREFIXES = (4, 5, 6, 7)
-LABEL_ACCURACY = 0.95
+#: What EM starts from for the accuracy of the labels, and the least that it may come to.
+LABEL_ACCURACY, LEAST_ACCURACY = 0.95, 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _PATTERNS = [re.compile(x) for x in PATTERNS.values()]
 
@@ -59,8 +63,7 @@ def terms_of(text: str) -> set[str]:
     """Words as ``=word``, beginnings of longer words as ``^beg``, and the dense ones of both."""
     counts: Counter = Counter()
     for word, n in Counter(_WORD.findall(text.lower())).items():
-        if len(word) <= 24:
-            counts[f"={word}"] += n
+        counts[f"={word}"] += n
         for k in PREFIXES:
             if len(word) > k:
                 counts[f"^{word[:k]}"] += n
@@ -135,39 +138,78 @@ def telling(rows: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     return _count(rows).where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= ODDS).withColumn("gain", F.col("toxic") * F.log("odds"))
 
 
-def cliques(votes: np.ndarray, label: np.ndarray, least: float = 0.6) -> list[np.ndarray]:
-    """Voters joined where they correlate by at least ``least`` within the suspected class; each clique votes as any of its members."""
-    inside = votes[label > 0.5].astype(np.float32)
-    if len(inside) < 5:
-        return [np.array([i]) for i in range(votes.shape[1])]
-    centred = inside - inside.mean(axis=0)
-    sd = np.sqrt((centred**2).sum(axis=0)) + 1e-9
-    close = (centred.T @ centred) / np.outer(sd, sd) >= least
-    group = np.arange(votes.shape[1])
-    for i in range(len(group)):
-        for j in np.flatnonzero(close[i, :i]):
-            group[group == group[j]] = group[i]
-    return [np.flatnonzero(group == g) for g in np.unique(group)]
+def dependences(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Parent of each voter (-1: none) in the forest of greatest mutual information given the class.
+
+    A dependence stays out unless it explains more than its two parameters cost by the Bayesian information criterion.
+    """
+    m, n = votes.shape[1], len(votes)
+    if not m or not n:
+        return np.full(m, -1)
+    v = votes.astype(np.float32)
+    info = np.zeros((m, m))
+    for weight in (post, 1 - post):
+        total = float(weight.sum()) + 1.0
+        both = (v * weight[:, None].astype(np.float32)).T @ v + 0.25
+        one = np.diag(both) + 0.25
+        for a in (0, 1):
+            for b in (0, 1):
+                pa, pb = (one if a else total - one), (one if b else total - one)
+                cell = {(1, 1): both, (1, 0): one[:, None] - both, (0, 1): one[None, :] - both, (0, 0): total - one[:, None] - one[None, :] + both}[a, b]
+                cell = np.maximum(cell, 0.05)
+                info += cell * np.log(cell * total / (pa[:, None] * pb[None, :]))
+    np.fill_diagonal(info, -np.inf)
+    parent, waiting = np.full(m, -1), np.ones(m, bool)
+    best, via = np.full(m, -np.inf), np.full(m, -1)
+    for _ in range(m):  # Prim's algorithm; a new tree begins where no dependence pays
+        score = np.where(waiting, best, -np.inf)
+        at = int(score.argmax())
+        if score[at] > np.log(n):
+            parent[at] = via[at]
+        else:
+            at = int(np.flatnonzero(waiting)[v[:, waiting].sum(axis=0).argmax()])
+        waiting[at] = False
+        closer = waiting & (info[at] > best)
+        best[closer], via[closer] = info[at][closer], at
+    return parent
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, steps: int = 40) -> np.ndarray:
     """Posterior P(toxic) per row from votes (rows x voters, 0/1) and gold labels (-1: none)."""
-    known = gold >= 0
-    prior = float(np.clip(gold[known].mean() if known.any() else 0.1, 0.01, 0.5))
-    label = np.where(known, gold, 0).astype(float)
-    joined = np.stack([votes[:, c].any(axis=1) for c in cliques(votes, label if known.any() else (votes.sum(axis=1) > 0).astype(float))], axis=1).astype(float) if votes.shape[1] else np.zeros((len(votes), 0))
-    base = np.where(known, np.where(gold > 0, 1, -1) * math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)), 0.0)
-    hit, miss = np.full(joined.shape[1], 0.3), np.full(joined.shape[1], 0.03)
-    post = np.full(len(votes), prior)
-    for _ in range(steps):
-        weight = np.log(hit / miss)
-        silent = np.log((1 - hit) / (1 - miss))
-        logit = math.log(prior / (1 - prior)) + base + joined @ weight + (1 - joined) @ silent
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    known, m = gold >= 0, votes.shape[1]
+    v = votes.astype(np.float64)
+    right = LABEL_ACCURACY
+    gold_odds = lambda x: np.where(known, np.where(gold > 0, 1, -1) * math.log(x / (1 - x)), 0.0)
+    # the first guess is the label where there is one, else it rises with the number of votes
+    post = np.where(known, np.where(gold > 0, right, 1 - right), 0.97 - 0.95 * 0.1 ** v.sum(axis=1))
+    prior = float(np.clip(post.mean(), 0.001, 0.9))
+    parent = np.full(m, -1)
+    for step in range(steps):
+        if step in (0, 5, 15):
+            parent = dependences(votes, np.where(known, np.clip(gold, 0, 1), post) if step == 0 and known.any() else post)
+            above = np.where(parent[None, :] >= 0, v[:, parent], 0.0) if m else v
+        logit = np.full(len(v), math.log(prior / (1 - prior)))
+        rates = []
+        for weight, most in ((post, 0.99), (1 - post, 0.5)):
+            total = weight.sum()
+            plain = np.clip((weight @ v + 0.5 * (most > 0.5) + 0.05) / (total + 2), 1e-4, most)
+            rates.append((weight, total, plain))
+        hit, miss = np.maximum(rates[0][2], rates[1][2] * 1.01), rates[1][2]
+        for sign, (weight, total, _), plain in ((1, rates[0], hit), (-1, rates[1], miss)):
+            up, both = weight @ above, weight @ (above * v)
+            given = np.clip((both + 2 * plain) / (up + 2), 1e-4, 0.999)  # rate where the parent votes
+            alone = np.clip((weight @ v - both + 2 * plain) / (total - up + 2), 1e-4, 0.999)
+            logit += sign * (v @ np.log(alone) + (1 - v) @ np.log(1 - alone))
+            logit += sign * ((above * v) @ (np.log(given) - np.log(alone)) + (above * (1 - v)) @ (np.log(1 - given) - np.log(1 - alone)))
+        if known.any():
+            agree = np.where(gold > 0, post, 1 - post)[known]
+            right = float(np.clip(agree.mean(), LEAST_ACCURACY, 0.999))
+            logit += gold_odds(right)
+        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        moved, post = float(np.abs(new - post).max(initial=0)), new
         prior = float(np.clip(post.mean(), 0.001, 0.9))
-        hit = np.clip((post @ joined + 0.5) / (post.sum() + 2), 1e-4, 0.99)
-        miss = np.clip(((1 - post) @ joined + 0.05) / ((1 - post).sum() + 1), 1e-4, 0.5)
-        hit = np.maximum(hit, miss * 1.01)
+        if moved < 1e-4 and step > 15:
+            break
     return post
 
 
@@ -231,7 +273,7 @@ def scores_of(texts, finder: TermFinder, n_terms: int, weights: np.ndarray) -> n
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """id and score (0 to 1) of each row of docs; labels (id_col, toxic) are learnt from only where learn holds.
+    """id and score (0 to 1) of each row of docs; labels (id_col, toxic) are learnt from only where learn (of column __id) holds.
 
     Null and empty texts get the score of a text without any term. Null labels are not learnt from; of a row labelled
     twice the greater label counts. Without labels of both classes the fixed lexicon alone scores.
@@ -248,7 +290,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs that score under the threshold, with all their columns."""
+    """The rows of docs that score under the threshold, with all their columns, whatever their names; scores are those of score()."""
     terms, weights = learnt(docs, labels, learn, id_col, text_col, train_rows)
 
     @F.pandas_udf("double")
