@@ -4,14 +4,22 @@ A window is ``WINDOW`` consecutive words. Every window selects one anchor: of
 the runs of ``GRAM`` words in it the one with the least hash, so equal windows
 select equal anchors, and a text needs about one anchor in 13 words.
 
-``FingerprintIndex`` keeps (anchor hash, document) rows in immutable runs, each
-sorted by hash. A new batch becomes a run of its own and is merge-joined with
-the older runs: what both hold is suspect. When ``FAN`` runs of a level have
-gathered they are compacted into one of the next level.
+``FingerprintIndex`` keeps (anchor hash, region hash, least and greatest
+document) rows in immutable runs, each sorted by hash, in a folder with a
+manifest; it can be opened again by a later session. A region is what
+neighbouring windows that select one anchor span. A new batch becomes a run of
+its own and is merge-joined with the older runs: an anchor that both hold is
+suspect. When ``FAN`` runs of a level have gathered they are compacted into one
+of the next level. ``dedup_batch`` adds one batch to an index and judges it
+against all that came before; of the older texts it reads only those that hold
+the first copy of a suspect region. ``dedup_passages`` adds a whole table in
+batches of ascending ids and verifies all suspects together.
+
+(The hashes of all windows, instead of one anchor for about 13 of them, would
+make each run twice as large as the texts.)
 
 Suspect anchors are then verified on the texts' own bytes by 128-bit digests.
-Neighbouring windows that select one anchor form a region. Regions are compared
-first: one that also occurs under a smaller document id is a repeat as a whole.
+Regions are compared first: one that also occurs under a smaller document id is a repeat as a whole.
 Where an anchor has several different regions (at the ends of passages), each
 region's first occurrence is compared window by window. Everything is keyed by
 hash or by document; a passage that many documents share is one group of an
@@ -21,19 +29,22 @@ aggregation, never a list in a task.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recolink.llm.shared import bounded_batches, discard, save
+from recolink.llm.shared import bounded_batches, delete_path, discard, new_path, read_text, save, write_text
 from recolink.llm.wordhash import Words
 
 WINDOW, GRAM = 50, 25
 #: Batches that a whole table is added in, and runs of a level that are compacted together.
-BATCHES, FAN = 3, 3
+BATCHES, FAN = 4, 3
 
 
 def anchors(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -57,63 +68,89 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), ident.alias("id"), F.xxhash64(ident, text).alias("key"), text.alias("text"))
 
 
+def regions(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first and last window of each run of windows that select one anchor."""
+    hashes, at = anchors(words, window, gram)
+    if not len(at):
+        return hashes.view(np.int64), at, at
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return hashes[first].view(np.int64), first, np.concatenate([first[1:], [len(at)]]) - 1
+
+
 def fingerprints(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per document its word count, the digest of all its words, and its distinct anchors."""
+    """Per document its word count, the digest of all its words, and the anchors and hashes of its regions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text in batch["text"]:
                 words = Words(text)
-                out.append((len(words), hashlib.sha256(words.joined).hexdigest(), np.unique(anchors(words, window, gram)[0]).view(np.int64)))
-            yield pd.concat([batch[["doc_id", "id", "key"]], pd.DataFrame(out, columns=["n_words", "sha", "anchors"], index=batch.index)], axis=1)
+                hashes, first, last = regions(words, window, gram)
+                spans = words.spans(first, last + window - 1).view(np.int64) if len(first) else hashes
+                out.append((len(words), hashlib.sha256(words.joined).hexdigest(), hashes, spans))
+            yield pd.concat([batch[["doc_id", "id", "key"]], pd.DataFrame(out, columns=["n_words", "sha", "anchors", "regions"], index=batch.index)], axis=1)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, id long, key long, n_words long, sha string, anchors array<long>")
+    return rows.mapInPandas(run, f"doc_id {kind}, id long, key long, n_words long, sha string, anchors array<long>, regions array<long>")
 
 
-def regions(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window of each run of windows that select one anchor."""
-    hashes, at = anchors(words, window, gram)
-    if not len(at):
-        return hashes.view(np.int64), at, at
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return hashes[first].view(np.int64), first, np.concatenate([first[1:], [len(at)]]) - 1
+class FingerprintIndex:
+    """Sorted immutable runs, by level, of (hash, region, a, b): a region of an anchor with the least and greatest id that holds it.
 
+    ``folder`` holds the runs and ``manifest.json``, which names those that count. A run is written whole before the
+    manifest names it, and deleted after the manifest has let it go; so a session that dies leaves the index as it was.
+    """
 
-class FingerprintIndex:
-    """Sorted immutable runs, by level, of (hash, a, b): an anchor with the least and greatest key that holds it."""
-
-    def __init__(self, fan: int = FAN):
-        self.fan, self.runs = fan, []  # (level, table)
-
-    def add(self, marks: DataFrame) -> DataFrame:
-        """Add a batch (key and anchors; keys that were not added before); returns, saved, the hashes it shares within itself or with what was there."""
-        self._compact()
-        rows = marks.select(F.explode("anchors").alias("hash"), "key").groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b"))
-        new = save(rows.sortWithinPartitions("hash"), "run0")
-        shared = new.where("a < b").select("hash")
-        for _, run in self.runs:
-            shared = shared.unionByName(new.select("hash").hint("merge").join(run.select("hash"), "hash"))
-        shared = save(shared, "shared")
-        self.runs.append((0, new))
-        return shared
-
-    def _compact(self) -> None:
+    def __init__(self, spark: SparkSession, folder: str, fan: int = FAN):
+        self.spark, self.folder, self.fan = spark, folder.rstrip("/"), fan
+        known = read_text(spark, f"{self.folder}/manifest.json")
+        self.runs: list[tuple[int, str]] = [tuple(x) for x in json.loads(known)] if known else []  # (level, name)
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.schema("hash long, region long, a long, b long").parquet(f"{self.folder}/{name}")
+
+    def _put(self, rows: DataFrame, level: int) -> tuple[int, str]:
+        name = f"run{level}-{uuid.uuid4().hex[:12]}"
+        rows.groupBy("hash", "region").agg(F.min("a").alias("a"), F.max("b").alias("b")).sortWithinPartitions("hash", "region").write.parquet(f"{self.folder}/{name}")
+        return level, name
+
+    def _commit(self, runs: list[tuple[int, str]]) -> None:
+        write_text(self.spark, f"{self.folder}/manifest.json", json.dumps(runs))
+        gone, self.runs = [x for x in self.runs if x not in runs], runs
+        for _, name in gone:
+            delete_path(self.spark, f"{self.folder}/{name}")
+
+    def add(self, marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Add a batch (id, anchors and regions). Returns, both saved, the hashes that several of its ids or older runs share, and
+        the older ids (id, hash) that hold a first copy of a region with such a hash (None if there are no older runs)."""
+        zipped = marks.select("id", F.explode(F.arrays_zip("anchors", "regions")).alias("x"))
+        rows = zipped.select(F.col("x.anchors").alias("hash"), F.col("x.regions").alias("region"), F.col("id").alias("a"), F.col("id").alias("b"))
+        run = self._put(rows, 0)
+        new = self._table(run[1]).groupBy("hash").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        new = save(new.sortWithinPartitions("hash"), "batch") if self.runs else new
+        shared, old = new.where("a < b").select("hash"), None
+        for _, name in self.runs:
+            met = self._table(name).select("hash", F.col("a").alias("id")).join(new.select("hash").hint("merge"), "hash")
+            old = met if old is None else old.unionByName(met)
+        if old is not None:
+            old = save(old, "older")
+            shared = shared.unionByName(old.select("hash"))
+        shared = save(shared.distinct(), "shared")
+        self._commit([*self.runs, run])
+        self.compact()
+        return shared, old
+
+    def compact(self) -> None:
+        """Merge the runs of each level that has gathered ``fan`` of them into one of the next."""
         level = 0
         while len(same := [x for x in self.runs if x[0] == level]) >= self.fan:
-            merged = same[0][1]
-            for _, run in same[1:]:
-                merged = merged.unionByName(run)
-            rows = merged.groupBy("hash").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-            big = save(rows.sortWithinPartitions("hash"), f"run{level + 1}")
-            discard(*(run for _, run in same))
-            self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, big)]
+            merged = reduce(DataFrame.unionByName, [self._table(name) for _, name in same])
+            self._commit([x for x in self.runs if x[0] != level] + [self._put(merged, level + 1)])
             level += 1
 
     def drop(self) -> None:
-        discard(*(run for _, run in self.runs))
         self.runs = []
+        delete_path(self.spark, self.folder)
 
 
 def region_digests(suspects: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -182,27 +219,15 @@ def remove_windows(words: Words, firsts, lasts, window: int = WINDOW) -> tuple[i
     return int(covered.sum()), b" ".join(w for w, gone in zip(words.words, covered.tolist()) if not gone)
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256[, text] per row of docs.
+def _suspects(rows: DataFrame, marks: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows that hold a shared hash, with the list of these (at most a document's own anchors)."""
+    held = marks.select("key", F.explode(F.array_distinct("anchors")).alias("hash")).join(shared.hint("merge"), "hash")
+    lists = held.groupBy("key").agg(F.collect_set("hash").alias("hashes"))
+    return rows.select("id", "key", "text").join(lists.hint("merge"), "key").dropDuplicates(["key"])
 
-    A word goes if a window over it also starts in a document with a smaller id; windows are judged on the input. Null
-    and empty texts have no words; texts shorter than a window are left alone, as are repeats inside one document and
-    among rows of one id. Rows that repeat id and text get equal results. A null id counts as the greatest.
-    """
-    bounded_batches(docs)
-    rows = keyed(docs, id_col, text_col)
-    marks = save(fingerprints(rows, window, gram), "marks")
-    index, shared = FingerprintIndex(), []
-    for number in range(batches):
-        shared.append(index.add(marks.where(F.pmod("key", F.lit(batches)) == number).select("key", "anchors")))
-    index.drop()
-    found = shared[0]
-    for more in shared[1:]:
-        found = found.unionByName(more)
-    held = marks.select("key", F.explode("anchors").alias("hash")).join(found.distinct().hint("merge"), "hash")
-    lists = save(held.groupBy("key").agg(F.collect_set("hash").alias("hashes")), "lists")  # at most a document's own anchors
-    discard(*shared)
-    suspects = save(rows.select("id", "key", "text").join(lists.hint("merge"), "key").dropDuplicates(["key"]), "suspects")
+
+def _judged(rows: DataFrame, marks: DataFrame, suspects: DataFrame, window: int, gram: int, with_text: bool) -> DataFrame:
+    """The result of rows (with their marks), whose suspects and these' older partners are given, saved."""
     repeats = repeated_windows(suspects, window, gram)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,3 +249,47 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = base.join(cut, "key", "left")
     columns = ["doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256")]
     return out.select(*columns, *([F.coalesce("left", "text").alias("text")] if with_text else []))
+
+
+def dedup_batch(index: FingerprintIndex, batch: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    """Judge a batch against all that the index holds and itself, and add it: doc_id, n_words, n_removed, kept_sha256[, text].
+
+    corpus has the id_col and text_col of what was added before (more rows do no harm); only the documents that hold a
+    first copy of a suspect region are read from it. A word goes if a window over it also starts in a document with a
+    smaller id. A batch's ids should be greater than those before: older documents aren't judged again.
+    """
+    bounded_batches(batch)
+    rows = keyed(batch, id_col, text_col)
+    marks = save(fingerprints(rows, window, gram), "marks")
+    shared, old = index.add(marks)
+    suspects = _suspects(rows, marks, shared)
+    if old is not None and corpus is not None:
+        listed = old.groupBy("id").agg(F.collect_set("hash").alias("hashes"))
+        texts = keyed(corpus, id_col, text_col).select("id", "key", "text")
+        suspects = suspects.unionByName(texts.join(listed.hint("merge"), "id").select("id", "key", "text", "hashes").dropDuplicates(["key"]))
+    return _judged(rows, marks, save(suspects, "suspects"), window, gram, with_text)
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256[, text] per row of docs.
+
+    A word goes if a window over it also starts in a document with a smaller id; windows are judged on the input. Null
+    and empty texts have no words; texts shorter than a window are left alone, as are repeats inside one document and
+    among rows of one id. Rows that repeat id and text get equal results. A null id counts as the greatest. An empty
+    table gives no rows; other columns, whatever their names, are not looked at. The table is added to an index in
+    ``batches`` of ascending ids of about equal size.
+    """
+    bounded_batches(docs)
+    spark, rows = docs.sparkSession, keyed(docs, id_col, text_col)
+    marks = save(fingerprints(rows, window, gram), "marks")
+    shares = [k / batches for k in range(1, batches)]
+    cuts = marks.agg(F.percentile_approx("id", shares, 1000)).first()[0] if shares else None
+    number = sum((F.when(F.col("id") > x, 1).otherwise(0) for x in cuts or []), F.lit(0))
+    index, found = FingerprintIndex(spark, new_path(spark, "passages")), []
+    for k in range(batches):
+        found.append(index.add(marks.where(number == k).select("id", "anchors", "regions")))
+    index.drop()
+    shared = reduce(DataFrame.unionByName, [x for x, _ in found]).distinct()
+    suspects = save(_suspects(rows, marks, shared), "suspects")
+    discard(*(x for pair in found for x in pair if x is not None))
+    return _judged(rows, marks, suspects, window, gram, with_text)

@@ -44,21 +44,24 @@ class Words:
         blanks = np.flatnonzero(raw == 32)
         self.starts = np.concatenate([[0], blanks + 1]) if self.words else np.empty(0, np.int64)
         self.ends = np.concatenate([blanks, [len(raw)]]) if self.words else np.empty(0, np.int64)
-        self._raw = raw
+        self._raw, self._sums = raw, None
 
     def __len__(self) -> int:
         return len(self.words)
 
+    def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the words from each number in first to that in last; equal runs have equal hashes wherever they stand."""
+        size = len(self._raw)
+        if self._sums is None:
+            self._sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(_BYTE[self._raw] * _power(_BASE, size), out=self._sums[1:])
+        start = self.starts[first]
+        return mixed((self._sums[self.ends[last]] - self._sums[start]) * _power(_INVERSE, size)[start])
+
     def grams(self, k: int) -> np.ndarray:
-        """A 64-bit hash of each run of k words; equal runs have equal hashes wherever they stand."""
+        """The hash of each run of k words."""
         n = len(self.words) - k + 1
-        if n <= 0:
-            return np.empty(0, np.uint64)
-        size = len(self._raw)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTE[self._raw] * _power(_BASE, size), out=sums[1:])
-        first = self.starts[:n]
-        return mixed((sums[self.ends[k - 1 :]] - sums[first]) * _power(_INVERSE, size)[first])
+        return self.spans(np.arange(n), np.arange(k - 1, k - 1 + n)) if n > 0 else np.empty(0, np.uint64)
 
     def span(self, first: int, k: int) -> bytes:
         """The k words from the given one on, joined."""
