@@ -21,6 +21,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recolink.llm.shared import fresh
+
 # Fixed patterns and word lists.
 NAMES = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth(?!or)|credential)"
 #: An identifier with a telling name in it ("author" is none), a sign, and no value yet; the name may have a prefix and a suffix.
@@ -50,7 +52,7 @@ CANDIDATE = (
     + FORMATS
     + r"|(?<![A-Za-z0-9+/\-])(?:sk-|eyJ)[A-Za-z0-9_\-]{20,}"
     # a run of key characters leaves a format behind '_' in it to the branch above, and '=' to what is assigned to it
-    + r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])(?![A-Za-z0-9+/_\-]{0,64}?_"
+    + r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])(?![A-Za-z0-9+/_\-]{0,64}?_"
     + FORMATS
     + r")[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/_\-=]))?)"
 )
@@ -70,12 +72,13 @@ WORDS = (
     "of|for|with|from|this|that|none|null|true|false|todo|xxx|foo|bar|abc|app|lib|src|main|version|release|build"
 )
 NEAR_SECRET = r"(?i)(?:key|secret|token|passw|pwd|auth|credential|bearer|login)[^\n]{0,24}$"
+AFTER_HARMLESS = r"(?i)^[^\n]{0,24}(?:example|sample|dummy|placeholder|fake|not real|for tests?\b|checksum|digest|commit|revision)"
 NEAR_HARMLESS = r"(?i)(?:commit|sha\d*|md5|checksum|digest|etag|uuid|guid|revision|hash|base64,|version|isbn|order|ticket|trace|request)[^\n]{0,16}$"
 HARMLESS_PATH = r"(?i)(?:test|example|sample|fixture|mock|spec|docs?/|vendor|lock)"
 PLACEHOLDER = r"(?i)(?:example|changeme|your[_\-]?|placeholder|dummy|sample|x{4,}|\*{3,}|<|>|\$\{|0{8,}|1234567)"
 REDACTED = "[REDACTED]"
 
-FEATURES = ["length", "changes", "dictionary", "digits", "uppers", "lowers", "distinct", "hex", "known", "assigned", "near_secret", "near_harmless", "path_harmless", "placeholder", "uuid", "dashes", "letters_only_runs"]
+FEATURES = ["length", "changes", "dictionary", "digits", "uppers", "lowers", "distinct", "hex", "known", "assigned", "near_secret", "near_harmless", "after_harmless", "path_harmless", "placeholder", "uuid", "dashes", "letters_only_runs"]
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -106,6 +109,7 @@ def described(found: DataFrame) -> DataFrame:
         "assigned": (F.length(inner) > 0).cast("double"),
         "near_secret": F.col("left").rlike(NEAR_SECRET).cast("double"),
         "near_harmless": F.col("left").rlike(NEAR_HARMLESS).cast("double"),
+        "after_harmless": F.col("right").rlike(AFTER_HARMLESS).cast("double"),
         "path_harmless": F.col("path").rlike(HARMLESS_PATH).cast("double"),
         "placeholder": v.rlike(PLACEHOLDER).cast("double"),
         "uuid": v.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$").cast("double"),
@@ -116,7 +120,7 @@ def described(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
-    """match, left, path, label: findings by rule, the same each time. Even numbers are secrets, odd ones false findings."""
+    """match, left, right, path, label: findings by rule, the same each time. Even numbers are secrets, odd ones false findings."""
     n = F.col("id")
     hexed = F.sha2(F.concat(F.lit("finding"), n.cast("string")), 256)
     plain = F.regexp_replace(F.concat(F.base64(F.unhex(hexed)), F.base64(F.unhex(F.sha2(hexed, 256)))), "[+/=\n]", "")
@@ -137,12 +141,14 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
         F.concat(name, sign, cut(hexed, 16, 64)),
         F.concat(name, sign, cut(plain, 10, 40)),
         F.concat(F.lit("ghp_"), F.substring(plain, 1, 36)),
-        F.concat(pick(["sk-", "sk_live_", "pk_live_", "rk_live_"], 3), cut(plain, 24, 48)),
+        F.concat(pick(["sk-", "sk_live_", "pk_live_", "rk_live_"], 3), cut(plain, 16, 48)),
         F.concat(pick(["xoxb-", "xoxp-"], 4), F.lit("2048319"), F.lit("-"), cut(plain, 20, 30)),
         F.concat(F.lit("-----BEGIN "), key_name, F.lit("-----"), key_body),
         F.concat(F.lit("eyJ"), cut(plain, 30, 70)),
         F.concat(F.lit("AIza"), F.substring(plain, 1, 35)),
         cut(plain, 32, 60),
+        # what people remember: a word, digits, perhaps a sign
+        F.concat(name, sign, pick(["hunter", "dragon", "Sunshine", "monkey", "letmein", "correcthorse", "Welcome", "shadow", "winter", "Passw0rd"], 17), F.substring(F.regexp_replace(F.concat(hexed, hexed), "[a-f]", ""), F.lit(1), (F.lit(1) + F.pmod(F.xxhash64(n, F.lit(23)), F.lit(4))).cast("int")), pick(["", "!", "x", "#", "Z"], 18)),
     ]
     words = pick(["thereadingofbooks", "index_of_the_item_list", "static/images/page-style", "user-data-file-name", "international_conversation", "app_version_release_build", "longestwordinthetext"], 5)
     digits = F.regexp_replace(F.concat(hexed, hexed), "[a-f]", "")
@@ -158,31 +164,34 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
         F.concat(F.lit("2024-01-"), F.substring(digits, 1, 2), F.lit("-"), F.substring(digits, 3, 8)),
         F.concat(F.lit("iVBORw0KGgoAAAANSUhEUg"), cut(plain, 20, 60)),
         F.repeat(F.substring(digits, 1, 1), 20),
+        F.concat(name, sign, pick(["required", "optional", "expired", "invalid", "forgotten", "missing", "rotation", "settings", "provider", "management"], 19)),
     ]
     quiet = pick(["and of the ", "wrote that ", "see ", "", "in a note: ", "again, "], 7)
     telling = pick(["the key is ", "use token ", "Authorization: Bearer ", "login with ", "secret "], 8)
     excuse = pick(["commit ", "md5 ", "checksum: ", "request ", "sha1: ", "revision ", "data:image/png;base64,", "uuid "], 8)
-    kind = F.pmod(F.floor(n / 2), F.lit(11)).cast("int")
+    kind = F.pmod(F.floor(n / 2), F.lit(len(secrets))).cast("int")
     good = (n % 2) == 0
     at = lambda options: F.element_at(F.array(*options), kind + 1)
     # an opaque key (kind 10) is a secret by what stands before it, as a plain hash (kinds 1, 2) is harmless by that
     left = F.when(good, F.when((kind == 10) | (F.pmod(F.xxhash64(n), F.lit(3)) == 0), telling).otherwise(quiet)).otherwise(
         F.when(kind.isin(0, 1, 2, 9), F.when(F.pmod(F.xxhash64(n), F.lit(4)) == 0, quiet).otherwise(excuse)).otherwise(quiet)
     )
+    right = F.when(~good & (F.pmod(F.xxhash64(n, F.lit(20)), F.lit(4)) == 0), pick([" is only an example", " # sample", " (a dummy)", " checksum", " is fake"], 21)).otherwise(pick(["", " and of the", ", then", " in use", "\n"], 22))
     path = F.when(~good & (F.pmod(F.xxhash64(n, F.lit(11)), F.lit(3)) == 0), pick(["tests/fixtures/a.py", "docs/example.md", "package-lock.json"], 12)).otherwise(pick(["src/main.py", "src3", "config/app.yml", "notes.txt", "", "src11"], 13))
     return spark.range(rows).select(
-        F.when(good, at(secrets)).otherwise(at(harmless)).alias("match"), left.alias("left"), path.alias("path"), good.cast("double").alias("label")
+        F.when(good, at(secrets)).otherwise(at(harmless)).alias("match"), left.alias("left"), right.alias("right"), path.alias("path"), good.cast("double").alias("label")
     )
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7):
-    """A fitted pipeline over labelled findings (match, left, path, label); its seed is fixed."""
+    """A fitted pipeline over labelled findings (match, left, path, label, and right, if known); its seed is fixed."""
+    findings = findings if "right" in findings.columns else findings.withColumn("right", F.lit(""))
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=11, minInstancesPerNode=2)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(described(findings).select("label", *FEATURES))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """id, key (of the row), finding (from 0), start (in characters), match, left and path of each candidate."""
+    """id, key (of the row), finding (from 0), start (in characters), match, left, right and path of each candidate."""
     text = F.col(text_col).cast("string")
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"), path.alias("path"))
@@ -192,7 +201,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("id", "key", "path", "gaps", ends.alias("sizes"), F.posexplode("matches").alias("finding", "match"))
     before = F.aggregate(F.slice("sizes", F.lit(1), F.col("finding")), F.lit(0).cast("long"), lambda total, x: total + x)
     gap = F.element_at("gaps", F.col("finding") + 1)
-    return rows.select("id", "key", "finding", "match", "path", (before + F.length(gap)).alias("start"), F.expr("right(element_at(gaps, finding + 1), 60)").alias("left"))
+    return rows.select("id", "key", "finding", "match", "path", (before + F.length(gap)).alias("start"), F.expr("right(element_at(gaps, finding + 1), 60)").alias("left"), F.expr("left(element_at(gaps, finding + 2), 60)").alias("right"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
@@ -211,18 +220,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """docs with every secret of a text replaced by a mark; rows without one pass through untouched (and unshuffled).
+    """docs with every secret of a text replaced by a mark, where it stands; rows without one pass through untouched (and unshuffled).
 
-    n_chars, where it is a column, follows the new text. Only rows with candidates meet their findings in a join.
+    n_chars, where it is a column, follows the new text. Only rows with candidates meet their findings in a join. Null
+    and empty texts stay as they are, an empty table gives none, and repeated rows change alike. All columns of docs
+    come back, whatever their names.
     """
+    key, hit, spans = fresh("key"), fresh("hit"), fresh("spans")
     text = F.col(text_col).cast("string")
     has = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
-    found = scan(docs, id_col, text_col, path_col).where("is_secret").groupBy(F.col("key").alias("__hit")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets"))
-    rows = docs.where(has).withColumn("__key", F.xxhash64(F.col(id_col), text))
-    hit = rows.join(found, rows["__key"] == found["__hit"], "left")
-    clean = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col(text_col), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
-    out = {text_col: clean}
+    place = F.struct(F.col("start").cast("int").alias("start"), "length")
+    found = scan(docs, id_col, text_col, path_col).where("is_secret").groupBy(F.col("key").alias(hit)).agg(F.array_sort(F.collect_set(place)).alias(spans))
+    rows = docs.where(has).withColumn(key, F.xxhash64(F.col(id_col), text))
+    met = rows.join(found, F.col(key) == F.col(hit), "left")
+    begun = F.struct(F.lit("").alias("text"), F.lit(1).alias("at"))
+    step = lambda done, x: F.struct(
+        F.concat(done["text"], F.substring(text, done["at"], x["start"] + 1 - done["at"]), F.lit(REDACTED)).alias("text"), (x["start"] + x["length"] + 1).alias("at")
+    )
+    clean = F.aggregate(spans, begun, step, lambda done: F.concat(done["text"], F.substring(text, done["at"], F.length(text))))
+    new = fresh("text")
+    done = met.withColumn(new, clean)
+    out = {text_col: F.coalesce(new, F.col(text_col))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("__secrets").isNotNull(), F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    changed = hit.withColumns(out).select(*[f"`{c}`" for c in docs.columns])
+        out["n_chars"] = F.coalesce(F.length(new).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    changed = done.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
     return docs.where(~has).unionByName(changed)
