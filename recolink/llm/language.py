@@ -23,8 +23,8 @@ from recolink.llm.shared import bounded_batches
 
 #: Hash buckets of trigrams.
 BUCKETS = 8192
-#: Labelled rows that the trigram counts come from, on average at most.
-TRAIN_ROWS = 6000
+#: Labelled rows that the trigram counts come from on average, and rows of each language that are taken at least, if it has them.
+TRAIN_ROWS, LEAST_ROWS = 6000, 300
 #: Steps of EM with all languages, and with each smaller set.
 STEPS, SET_STEPS = 6, 3
 #: Documents whose mixtures are estimated together.
@@ -120,16 +120,20 @@ def mixtures(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """id, lang_pred and score (the language's share) of each row.
 
-    learn says which rows' labels may be used; of those with a label about ``train_rows``, by a hash of the id, give the
-    trigram counts (all, if they are no more). Null texts and texts without a letter are ``und`` with score 0, as is every text if
-    there is nothing to learn from. Ties go to the language first in order. Repeated rows give repeated results.
+    learn says which rows' labels may be used. Of each language's about train_rows times its share of them, LEAST_ROWS
+    at least, give the trigram counts, chosen by a hash of the id (all, if they are no more); what is learnt from is so
+    bounded by train_rows and the number of languages. Null texts and texts without a letter are ``und`` with score 0,
+    as is every text if there is nothing to learn from. Ties go to the language first in order. Repeated rows give
+    repeated results; an empty table gives none; other columns, whatever their names, are not looked at.
     """
     bounded_batches(docs)
-    labelled = docs.where(learn & F.col(lang_col).isNotNull()).select(id_col, lang_col, text_col)
-    known = labelled.count()
-    share = int(min(1.0, train_rows / max(1, known)) * (1 << 30))
-    some = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < share)
-    langs, table = train(some, lang_col, text_col)
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), learn.alias("learn")).where("learn AND lang IS NOT NULL")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    known, whole = sum(counts.values()), 1 << 30
+    shares = {x: int(min(1.0, max(train_rows / known, LEAST_ROWS / n)) * whole) for x, n in counts.items()}
+    share = F.element_at(F.create_map(*[F.lit(v) for pair in shares.items() for v in pair]), F.col("lang")) if shares else F.lit(0)
+    some = labelled.where(F.pmod(F.xxhash64("id"), F.lit(whole)) < share)
+    langs, table = train(some)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
