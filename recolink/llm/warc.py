@@ -3,7 +3,8 @@
 ``write_archives`` makes one archive per partition, compressed as one gzip
 stream. ``normalise`` inflates each such stream once, from front to back,
 rewrites every record as a gzip member of its own and writes a sidecar index of
-offsets beside it. ``read_records`` then fetches single members by offset.
+offsets beside it. ``read_index`` reads the sidecars of a folder, and
+``read_records`` then fetches single members by offset.
 
 Files go to the shared folder under a name given by the task's partition, first
 under a name of the attempt and then renamed, so a retried or doubled task
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recolink.llm.shared import delete_path, new_path, save
+from recolink.llm.exact_dedup import leaf_count
+from recolink.llm.shared import delete_path, discard, new_path, save
 
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,7 +43,13 @@ def _open(uri: str):
 
 
 def _publish(fs, temporary: str, final: str) -> None:
-    fs.move(temporary, final)
+    """Rename; where an earlier attempt has left the same file and the file system doesn't replace it, that one stays."""
+    try:
+        fs.move(temporary, final)
+    except OSError:
+        if fs.get_file_info(final).type != pafs.FileType.File:
+            raise
+        fs.delete_file(temporary)
 
 
 def _attempt(path: str) -> str:
@@ -78,15 +86,17 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, date: str
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0, leaves: int = 16) -> DataFrame:
+def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0, url_col: str = "url", leaves: int | None = None) -> DataFrame:
     """Adds __refers_to: the smallest id with an equal payload of at least min_bytes, or null where the row is that one.
 
     Equal means equal SHA-256 and length. Groups are combined within hash leaves first and joined back leaf by leaf, so
-    a payload that a third of all pages share is spread over the leaves.
+    a payload that a third of all pages share is spread over the leaves, whose number grows with the table.
     """
+    leaves = max(16, leaf_count(pages.count())) if leaves is None else leaves
+    url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(
-        F.col(id_col).cast("long").alias("__id"), F.col("url").cast("string").alias("__url"), payload.alias("__payload"),
+        F.col(id_col).cast("long").alias("__id"), url.alias("__url"), payload.alias("__payload"),
         F.sha2(payload, 256).alias("__same"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(leaves)).cast("int").alias("__leaf"),
     )
     leaf = rows.groupBy("__leaf", "__same").agg(F.min("__id").alias("__least"))
@@ -194,7 +204,7 @@ class _Counted:
 
 
 def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
-    """Rewrites each archive (column uri) with one member per record and a sidecar .idx; returns the index rows."""
+    """Rewrites each archive (column uri) with one member per record and a sidecar .idx; a row (uri, records) for each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -204,20 +214,22 @@ def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
                 out_fs, out = _open(out_uri)
                 out_fs.create_dir(out.rsplit("/", 1)[0], recursive=True)
                 with fs.open_input_stream(path, compression=None) as source, out_fs.open_output_stream(_attempt(out), compression=None) as sink, out_fs.open_output_stream(_attempt(f"{out}.idx"), compression=None) as side:
-                    rows = []
+                    n = 0
                     for offset, length, kind, urn in normalise_stream(source, _Counted(sink), level):
                         side.write(f"{offset}\t{length}\t{kind}\t{urn}\n".encode())
-                        rows.append((out_uri, offset, length, kind, urn))
-                        if len(rows) == 10_000:
-                            yield pd.DataFrame(rows, columns=["uri", "offset", "length", "type", "urn"])
-                            rows = []
+                        n += 1
                 _publish(out_fs, _attempt(out), out)
                 _publish(out_fs, _attempt(f"{out}.idx"), f"{out}.idx")
-                if rows:
-                    yield pd.DataFrame(rows, columns=["uri", "offset", "length", "type", "urn"])
+                yield pd.DataFrame({"uri": [out_uri], "records": [n]})
 
     n = max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return archives.repartition(n, "uri").mapInPandas(run, "uri string, offset long, length long, type string, urn string")
+    return archives.repartition(n, "uri").mapInPandas(run, "uri string, records long")
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """uri, offset, length, type and urn of every record, from the sidecars in a folder of normalised archives."""
+    side = spark.read.schema("offset long, length long, type string, urn string").csv(f"{folder}/*.idx", sep="\t")
+    return side.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.idx$", "").alias("uri"), "offset", "length", "type", "urn")
 
 
 def parse(member: bytes) -> tuple:
@@ -234,7 +246,7 @@ def parse(member: bytes) -> tuple:
 
 
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records that the index rows point to, each fetched by offset and checked against its digest."""
+    """The records that the index rows point to, each fetched by offset and checked against its digest; a task reads neighbouring ones in order."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["url", "payload"] * with_payload
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,22 +267,25 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
             other.close()
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * with_payload
-    return index.mapInPandas(run, schema)
+    near = F.floor(F.col("offset") / (16 * BLOCK))
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.repartition(parts, "uri", near).sortWithinPartitions("uri", "offset").mapInPandas(run, schema)
 
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write pages (id, url, payload) to archives, normalise them, and read every record back.
+def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0, url_col: str = "url") -> DataFrame:
+    """Write pages (id, url, payload) to archives, normalise them, and read every record back by the sidecar indexes.
 
-    A null payload is empty; a null url gives an empty target; blanks and control characters of a url are escaped. Of
-    equal payloads of at least min_bytes the row with the smallest id is the response and the others revisit it; rows
-    that repeat that id as well are responses too. A row without an id revisits the smallest id of its payload, and is
-    a response if there is none. An empty table gives no archives and no rows.
+    A null payload is empty; a null url, or none at all, gives an empty target; blanks and control characters of a url
+    are escaped. Of equal payloads of at least min_bytes the row with the smallest id is the response and the others
+    revisit it; rows that repeat that id as well are responses too. A row without an id revisits the smallest id of its
+    payload, and is a response if there is none. An empty table gives no archives and no rows. Other columns, whatever
+    their names, are not looked at.
     """
-    folder = new_path(pages.sparkSession, "warc")
-    whole = write_archives(with_revisits(pages, id_col, payload_col, min_bytes), f"{folder}/whole")
-    index = None
+    spark, folder = pages.sparkSession, new_path(pages.sparkSession, "warc")
+    whole = write_archives(with_revisits(pages, id_col, payload_col, min_bytes, url_col), f"{folder}/whole")
     for wave in range(WAVES):
-        step = save(normalise(whole.where(F.col("wave") == wave), f"{folder}/members"), "index")
-        delete_path(pages.sparkSession, f"{folder}/whole/{wave}")
-        index = step if index is None else index.unionByName(step)
-    return read_records(index)
+        discard(save(normalise(whole.where(F.col("wave") == wave), f"{folder}/members"), "normalised"))
+        delete_path(spark, f"{folder}/whole/{wave}")
+    if whole.isEmpty():
+        return read_records(spark.createDataFrame([], "uri string, offset long, length long, type string, urn string"))
+    return read_records(read_index(spark, f"{folder}/members"))
