@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Words for a floor, and ordinals in words.
 FLOOR_WORDS = ["floor", "flr", "fl", "floors"]
-# Ordinals in words.
 ORDINALS = {
     "ground": "0", "gr": "0", "grd": "0", "first": "1", "second": "2", "third": "3", "fourth": "4", "fifth": "5",
     "sixth": "6", "seventh": "7", "eighth": "8", "ninth": "9", "tenth": "10",
@@ -38,11 +38,12 @@ def number_features(q: Column, s: Column) -> dict[str, Column]:
     relation = num_relation(a, b)
     value = lambda x: F.substring(x, 1, 12).cast("bigint")
     known = relation != "missing"
+    absent = lambda x: (F.coalesce(x, F.lit("")) == "").cast("int")
     return {
         "num_equal": (relation == "equal").cast("int"),
         "num_compatible": relation.isin("equal", "compatible").cast("int"),
         "num_conflict": (relation == "conflict").cast("int"),
-        "num_missing": (~known).cast("int"),
+        "num_missing": (absent(a) + absent(b)).cast("int"),
         "num_edit": F.when(known, F.levenshtein(a, b)),
         "num_logdiff": F.when(known, F.log1p(F.abs(value(a) - value(b)).cast("double"))),
         "any_shared_number": F.arrays_overlap(q, s).cast("int"),
@@ -130,3 +131,8 @@ def in_share(ident: Column, share: float) -> Column:
 
 def shard(ident: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
+
+
+def decoded(ident: Column, per_source: int = 10**8) -> tuple[Column, Column]:
+    """source and row of an id that is source * per_source + row."""
+    return F.floor(ident / per_source).alias("source"), F.pmod(ident, F.lit(per_source)).alias("row")

@@ -51,11 +51,15 @@ def tfidf_weights(records: DataFrame, ident: str, grams: str, vocabulary: DataFr
 
 
 def fit_vocabulary(records: DataFrame, ident: str, grams: str, min_df: int = 2, max_share: float = 0.03, most: int = 600_000, part: str = "country") -> DataFrame:
-    """(partition, gram, df, idf) of the grams in at least min_df and at most a share of the partition's records."""
+    """(partition, gram, df, idf) of the grams in at least min_df and at most a share of the partition's records.
+
+    Of more than ``most`` grams those stay that occur most often, counting every occurrence (ties by gram).
+    """
     sizes = records.groupBy(part).agg(F.count_distinct(ident).alias("n"))
-    df = records.select(part, ident, F.explode(F.array_distinct(grams)).alias("gram")).groupBy(part, "gram").agg(F.count(F.lit(1)).alias("df"))
+    tf = records.select(part, ident, F.explode(grams).alias("gram")).groupBy(part, "gram", ident).agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy(part, "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("__tf"))
     kept = df.join(sizes, part).where((F.col("df") >= min_df) & (F.col("df") <= F.greatest(F.lit(min_df), F.floor(F.col("n") * max_share))))
-    rank = F.row_number().over(Window.partitionBy(part).orderBy(F.desc("df"), "gram"))
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(F.desc("__tf"), "gram"))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     return kept.withColumn("__r", rank).where(F.col("__r") <= most).select(part, "gram", "df", idf.alias("idf"))
 
@@ -71,15 +75,18 @@ def cosine_candidates(q: DataFrame, s: DataFrame, keep: int = 10, part: str = "c
     return top_k(pairs, "score", keep)
 
 
-def rare_token_candidates(queries: DataFrame, s1: DataFrame, items: str, text: str, similarity, most: int = 50, least: float = 50.0, keep: int = 3, part: str = "country") -> DataFrame:
-    """S1 records that hold the query's rarest word, if 1 to ``most`` do and the texts are alike enough; the best few."""
-    word = F.filter(items, lambda t: ~t.rlike("[0-9]"))
+def rare_token_candidates(queries: DataFrame, s1: DataFrame, items: str, text: str, similarity, most: int = 50, least: float = 0.5, keep: int = 3, part: str = "country") -> DataFrame:
+    """S1 records that hold the query's rarest word, if 1 to ``most`` do and the texts are alike enough; the best few.
+
+    Words that are pure numbers don't count; similarity is on the scale to 100, score and least on that to 1.
+    """
+    word = F.filter(items, lambda t: ~t.rlike("^[0-9]+$"))
     df = token_df(s1.withColumn("__i", word), "__i", part).where(F.col("df").between(1, most))
     rare = rarest_tokens(queries.withColumn("__i", word), "query_id", "__i", df, 1, part).select(part, "query_id", "token")
     right = s1.select(part, "s1_id", F.col(text).alias("__s"), F.explode(F.array_distinct(word)).alias("token"))
     texts = queries.select(part, "query_id", F.col(text).alias("__q"))
     pairs = rare.join(right, [part, "token"]).join(texts, [part, "query_id"])
-    scored = pairs.withColumn("score", similarity("__q", "__s")).where(F.col("score") >= least)
+    scored = pairs.withColumn("score", similarity("__q", "__s") / 100).where(F.col("score") >= least)
     return top_k(scored, "score", keep).select("query_id", "s1_id", "token", "score", "rank")
 
 
@@ -98,15 +105,25 @@ def cheap_score(a: Column, c: Column, weight: float = 0.2) -> Column:
 
 
 def adaptive_top_k(pairs: DataFrame, score: str = "cheap", base: int = 5, wide: int = 8, gap: float = 0.1, always: Column | None = None) -> DataFrame:
-    """``base`` candidates per query, ``wide`` where the first and the base-th lie closer than gap; ``always`` rows stay. One shuffle, one sort."""
-    ordered = Window.partitionBy("query_id").orderBy(F.desc(score), "s1_id")
-    whole = Window.partitionBy("query_id")
-    rows = pairs.withColumn("rank", F.row_number().over(ordered))
+    """``base`` candidates per query, ``wide`` where the first and the base-th lie closer than gap; ``always`` rows stay.
+
+    The first ``wide`` of a query are limited by Spark within each task before the shuffle, and only these meet in the
+    second window. Rows that stay always join by a union; only the queries that have any are ranked in full.
+    """
+    ordered, whole = Window.partitionBy("query_id").orderBy(F.desc(score), "s1_id"), Window.partitionBy("query_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(ordered))
+    rows = ranked.where(F.col("rank") <= max(wide, base + 1))
     last = F.min(F.when(F.col("rank") <= base, F.col(score))).over(whole)
     close = (F.count(F.lit(1)).over(whole) > base) & (F.max(score).over(whole) - last < gap)
     rows = rows.withColumn("k", F.when(close, wide).otherwise(base))
-    keep = F.col("rank") <= F.col("k")
-    return rows.where(keep if always is None else keep | F.coalesce(always, F.lit(False)))
+    best = rows.where(F.col("rank") <= F.col("k"))
+    if always is None:
+        return best
+    stay = F.coalesce(always, F.lit(False))
+    asking = pairs.where(stay).select("query_id").distinct()
+    full = pairs.join(asking, "query_id", "left_semi").withColumn("rank", F.row_number().over(ordered)).where(stay)
+    rest = full.join(rows.where("rank = 1").select("query_id", "k"), "query_id").where(F.col("rank") > F.col("k"))
+    return best.unionByName(rest)
 
 
 def mine_dictionary(pairs: DataFrame, least: int = 3, purity: float = 0.6) -> DataFrame:

@@ -78,10 +78,10 @@ def sample_regions(records: DataFrame, part: str, region: str, share: float, fol
 
 
 def pure_votes(votes: DataFrame, key: str, value: str, least: int = 5, purity: float = 0.9) -> DataFrame:
-    """The value a key stands with most, where that is often and purely enough."""
+    """The value a key stands with most, for keys that occur at least so often and whose value is pure enough. Ties go to the greatest value."""
     counts = votes.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(key).agg(F.max(F.struct(F.col("n"), F.col(value))).alias("b"), F.sum("n").alias("total"))
-    return best.where((F.col("b.n") >= least) & (F.col("b.n") >= purity * F.col("total"))).select(key, F.col(f"b.{value}").alias(value), F.col("b.n").alias("n"), "total")
+    return best.where((F.col("total") >= least) & (F.col("b.n") >= purity * F.col("total"))).select(key, F.col(f"b.{value}").alias(value), F.col("b.n").alias("n"), "total")
 
 
 def validate_submission(required: DataFrame, listed: DataFrame, known: DataFrame, key: str = "s1_id", member: str = "ids") -> DataFrame:
@@ -111,6 +111,16 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def realism(entities: DataFrame, asked: DataFrame, matched: DataFrame, part: str = "country") -> DataFrame:
+    """Per partition: s1 records, queries that were dealt to them, queries per S1, and queries that have no true S1. asked: s1_id, query_id; matched: query_id."""
+    flags = asked.join(matched.withColumn("__m", F.lit(1)), "query_id", "left")
+    own = flags.groupBy("s1_id").agg(F.count(F.lit(1)).alias("__q"), F.count_if(F.col("__m").isNull()).alias("__u"))
+    rows = entities.join(own, "s1_id", "left").na.fill(0, ["__q", "__u"])
+    return rows.groupBy(part).agg(
+        F.count(F.lit(1)).alias("s1"), F.sum("__q").alias("queries"), F.round(F.sum("__q") / F.count(F.lit(1)), 3).alias("queries_per_s1"), F.sum("__u").alias("unmatched")
+    )
+
+
 def histogram(rows: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Counts of equal bins over [0, 1], the last one closed."""
     return rows.groupBy(F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

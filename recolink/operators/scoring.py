@@ -15,10 +15,17 @@ def baseline_score(name: Column, addr: Column, num: Column, weights=(0.3, 0.6, 0
     return weights[0] * name + weights[1] * F.coalesce(addr, F.lit(0.0)) + weights[2] * num
 
 
-def rule_score(name: Column, addr: Column, compat: Column, conflict: Column, extra: Column, weights=(0.3, 0.5, 0.2), penalty: float = 0.1) -> Column:
-    """Weighted similarity less a penalty for extra words; a conflict of numbers is a veto."""
+def rule_score(name: Column, addr: Column, compat: Column, conflict: Column, extra: Column, weights=(0.3, 0.5, 0.2), penalty: float = 0.1, agree_major: Column | None = None, major_pen: float = 0.0, conflict_pen: float | None = None) -> Column:
+    """Weighted similarity less a penalty for extra words.
+
+    A missing address is stood in for by the name. Where the S1's other claimants agree on another number (agree_major
+    is 0) major_pen is taken off. A conflict of numbers is a veto (-1), or costs conflict_pen if that is given.
+    """
     plain = weights[0] * name + weights[1] * F.coalesce(addr, name) + weights[2] * compat - penalty * F.least(extra, F.lit(3)) / 3
-    return F.when(conflict == 1, F.lit(-1.0)).otherwise(plain)
+    if agree_major is not None:
+        plain = plain - major_pen * F.coalesce((agree_major == 0).cast("double"), F.lit(0.0))
+    against = F.coalesce(conflict == 1, F.lit(False))
+    return F.when(against, F.lit(-1.0)).otherwise(plain) if conflict_pen is None else plain - conflict_pen * against.cast("double")
 
 
 def one_to_one(pairs: DataFrame, score: str) -> DataFrame:
@@ -34,22 +41,26 @@ def select(pairs: DataFrame, score: str, threshold: float, keep: float) -> DataF
 
 
 def target_encoding(rows: DataFrame, token: str = "token", label: str = "label", fold: str = "fold", folds: tuple[int, ...] = (1, 2, 3, 4), smooth: float = 20.0) -> DataFrame:
-    """(fold, token, score): smoothed share of negatives in the other folds; fold 0 sees all of ``folds``.
+    """(fold, token, n, score): occurrences and smoothed share of negatives in the other folds; fold 0 sees all of ``folds``.
 
     One aggregation by (fold, token): leaving a fold out is the total less its own row.
     """
     used = rows.where(F.col(fold).isin(*folds))
+    priors = encoding_priors(rows, label, fold, folds)
     cells = used.groupBy(token, fold).agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col(label)).alias("neg"))
     totals = cells.groupBy(token).agg(F.sum("n").alias("tn"), F.sum("neg").alias("tneg"))
-    grand = cells.groupBy(fold).agg(F.sum("n").alias("fn"), F.sum("neg").alias("fneg"))
-    spark = rows.sparkSession
-    targets = spark.createDataFrame([(f,) for f in (0, *folds)], f"{fold} int")
-    whole = grand.agg(F.sum("fn").alias("gn"), F.sum("fneg").alias("gneg"))
-    priors = targets.join(grand, fold, "left").crossJoin(F.broadcast(whole)).select(fold, ((F.col("gneg") - F.coalesce("fneg", F.lit(0))) / (F.col("gn") - F.coalesce("fn", F.lit(0)))).alias("prior"))
     grid = totals.withColumn(fold, F.explode(F.array(*[F.lit(f) for f in (0, *folds)])))
     out = grid.join(cells, [token, fold], "left").join(F.broadcast(priors), fold)  # priors: one row per fold
     n, neg = F.col("tn") - F.coalesce("n", F.lit(0)), F.col("tneg") - F.coalesce("neg", F.lit(0))
-    return out.where(n > 0).select(fold, token, ((neg + smooth * F.col("prior")) / (n + smooth)).alias("score"))
+    return out.where(n > 0).select(fold, token, n.alias("n"), ((neg + smooth * F.col("prior")) / (n + smooth)).alias("score"))
+
+
+def encoding_priors(rows: DataFrame, label: str = "label", fold: str = "fold", folds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """(fold, prior): the share of negatives in the other folds, one row for each and for 0, which sees all; 0.5 without rows."""
+    cells = rows.where(F.col(fold).isin(*folds)).groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col(label)).alias("neg"))
+    targets = rows.sparkSession.createDataFrame([(f, g) for f in (0, *folds) for g in folds if f != g], f"target int, {fold} int")
+    seen = F.broadcast(targets).join(cells, fold, "left").groupBy("target").agg(F.sum("n").alias("n"), F.sum("neg").alias("neg"))
+    return seen.select(F.col("target").alias(fold), F.coalesce(F.col("neg") / F.col("n"), F.lit(0.5)).alias("prior"))
 
 
 def weight_grid(steps: int = 10) -> list[tuple[float, float, float]]:
@@ -142,6 +153,11 @@ def fit_gbt(rows: DataFrame, features: list[str], label: str = "label", trees: i
     return Pipeline(stages=stages).fit(rows)
 
 
+def full_model(rows: DataFrame, features: list[str], rounds: list[int], label: str = "label", more: float = 1.1, **options):
+    """A model of all rows, with ``more`` times as many trees as the cross-validated ones had on average."""
+    return fit_gbt(rows, features, label, trees=max(1, round(more * sum(rounds) / len(rounds))), **options)
+
+
 def predict(model, rows: DataFrame, out: str) -> DataFrame:
     """rows with the model's probability of the positive class; the model's own columns go."""
     from pyspark.ml.functions import vector_to_array

@@ -328,40 +328,41 @@ def dedup_link(spark, sf):
 
 
 # ------------------------------------------------------------------ features
-@query(f"""WITH {PAIRS}, a AS (SELECT query_id, s1_id, base_score, extra_q, CAST(num_q AS VARCHAR) AS main_q,
+@query(f"""WITH {PAIRS}, a AS (SELECT query_id, s1_id, base_score, extra_q, CASE WHEN num_q % 7 = 0 THEN '' ELSE CAST(num_q AS VARCHAR) END AS main_q,
   row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, s1_id) AS q_rank FROM pairs),
 b AS (SELECT *, max(base_score) OVER q AS q_best, max(CASE WHEN q_rank = 2 THEN base_score END) OVER q AS two,
   sum(CAST(q_rank = 1 AS INTEGER)) OVER s AS s1_claims, min(CASE WHEN q_rank = 1 THEN extra_q END) OVER s AS least
   FROM a WINDOW q AS (PARTITION BY query_id), s AS (PARTITION BY s1_id)),
-v AS (SELECT * FROM (SELECT s1_id, main_q AS major, count(*) AS n FROM a WHERE q_rank = 1 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY n DESC, major DESC) = 1)
+v AS (SELECT * FROM (SELECT s1_id, main_q AS major, count(*) AS n FROM a WHERE q_rank = 1 AND main_q <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY n DESC, major) = 1)
 SELECT query_id, s1_id, CAST(q_rank AS INTEGER) AS q_rank, q_best, round(q_best - base_score, 6) AS q_gap_to_best, round(q_best - coalesce(two, 0), 6) AS q_margin,
-  CAST(s1_claims AS BIGINT) AS s1_claims, coalesce(extra_q - least, 0) AS extra_vs_min,
-  CASE WHEN major IS NOT NULL AND NOT (q_rank = 1 AND main_q = major AND n = 1)
+  CAST(s1_claims AS BIGINT) AS s1_claims, extra_q - coalesce(least, 0) AS extra_vs_min,
+  CASE WHEN major IS NOT NULL AND main_q <> '' AND NOT (q_rank = 1 AND main_q = major AND n = 1)
     THEN CAST(main_q = major OR starts_with(main_q, major) OR ends_with(main_q, major) OR starts_with(major, main_q) OR ends_with(major, main_q) AS INTEGER) END AS num_agree_major
 FROM b LEFT JOIN v USING (s1_id)""")
 def context_features(spark, sf):
-    rows = features.context_features(candidate_pairs(spark, sf).select("query_id", "s1_id", "base_score", "extra_q", F.col("num_q").cast("string").alias("main_q")))
+    main = F.when(F.col("num_q") % 7 == 0, "").otherwise(F.col("num_q").cast("string"))
+    rows = features.context_features(candidate_pairs(spark, sf).select("query_id", "s1_id", "base_score", "extra_q", main.alias("main_q")))
     return rows.select("query_id", "s1_id", "q_rank", "q_best", r6("q_gap_to_best").alias("q_gap_to_best"), r6("q_margin").alias("q_margin"), "s1_claims", "extra_vs_min", "num_agree_major")
 
 
 def _group_input(spark, sf):
     rows = scored_pairs(spark, sf)
-    return rows.withColumns({"no_conflict": 1 - F.col("conflict"), "no_extra": (F.col("extra_q") == 0).cast("int")}).select("query_id", "s1_id", "base_score", "v2", "addr_tsort", "source", "no_conflict", "no_extra")
+    return rows.withColumns({"no_conflict": 1 - F.col("conflict"), "no_extra": (F.col("extra_q") == 0).cast("int"), "st_compat": (F.col("num_q") % 3).cast("int")}).select("query_id", "s1_id", "base_score", "v2", "addr_tsort", "source", "no_conflict", "no_extra", "st_compat")
 
 
-@query(f"""WITH {SCORED}, a AS (SELECT query_id, s1_id, v2, source, compat AS no_conflict, CAST(extra_q = 0 AS INTEGER) AS no_extra, CAST(base_score >= 0.6 AS INTEGER) AS c,
+@query(f"""WITH {SCORED}, a AS (SELECT query_id, s1_id, v2, source, compat AS no_conflict, CAST(extra_q = 0 AS INTEGER) AS no_extra, CAST(num_q % 3 > 0 AS INTEGER) AS st, CAST(base_score >= 0.6 AS INTEGER) AS c,
   row_number() OVER (PARTITION BY s1_id ORDER BY v2 DESC, query_id) AS g_rank_v2, row_number() OVER (PARTITION BY s1_id ORDER BY coalesce(addr_tsort, -1) DESC, query_id) AS g_rank_addr,
   row_number() OVER (PARTITION BY s1_id, source ORDER BY v2 DESC, query_id) AS g_rank_src, row_number() OVER (PARTITION BY query_id ORDER BY v2 DESC, s1_id) AS qr FROM scored),
 b AS (SELECT *, max(v2) OVER s AS best, max(CASE WHEN g_rank_v2 = 2 THEN v2 END) OVER s AS two, max(v2) OVER q AS qbest, max(CASE WHEN qr = 2 THEN v2 END) OVER q AS qtwo,
   sum(c) OVER s AS g_size, sum(c * no_conflict) OVER s AS g_n_noconf, sum(c * no_extra) OVER s AS g_n_noextra, sum(c) OVER src - c AS g_same_src,
-  count(*) OVER q AS q_n_cand, sum(no_conflict) OVER q AS q_n_compat
+  count(*) OVER q AS q_n_cand, sum(st) OVER q AS q_n_compat
   FROM a WINDOW s AS (PARTITION BY s1_id), q AS (PARTITION BY query_id), src AS (PARTITION BY s1_id, source))
 SELECT query_id, s1_id, CAST(g_rank_v2 AS INTEGER) AS g_rank_v2, CAST(g_rank_addr AS INTEGER) AS g_rank_addr, CAST(g_rank_src AS INTEGER) AS g_rank_src, CAST(c AS BIGINT) AS is_claimant,
   round(best - v2, 6) AS g_gap_v2, round(coalesce(CASE WHEN g_rank_v2 = 1 THEN two ELSE best END, -1), 6) AS g_other_max_v2,
   CAST(g_size AS BIGINT) AS g_size, CAST(g_n_noconf AS BIGINT) AS g_n_noconf, CAST(g_n_noextra AS BIGINT) AS g_n_noextra, CAST(g_same_src AS BIGINT) AS g_same_src,
   q_n_cand, CAST(q_n_compat AS BIGINT) AS q_n_compat, round(qbest, 6) AS q_v2_best, round(qbest - v2, 6) AS q_v2_gap, round(coalesce(qbest - qtwo, 2), 6) AS q_v2_margin FROM b""")
 def group_features(spark, sf):
-    rows = features.group_features(_group_input(spark, sf)).drop("base_score", "v2", "addr_tsort", "source", "no_conflict", "no_extra")
+    rows = features.group_features(_group_input(spark, sf)).drop("base_score", "v2", "addr_tsort", "source", "no_conflict", "no_extra", "st_compat")
     return rows.withColumns({c: r6(c) for c in ("g_gap_v2", "g_other_max_v2", "q_v2_best", "q_v2_gap", "q_v2_margin")})
 
 
@@ -377,16 +378,32 @@ def p1_aggregates(spark, sf):
     return rows.withColumns({"p1_s1_sum": F.round("p1_s1_sum", 4), "p1_minus_s1max": r6("p1_minus_s1max"), "p1_q_margin": r6("p1_q_margin")})
 
 
-@query(f"""WITH {PAIRS}, a AS (SELECT s1_id, query_id, base_score AS p, row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, s1_id) = 1 AS kept FROM pairs),
+@query(f"""WITH {SCORED}, a AS (SELECT *, base_score AS p, CAST(base_score >= 0.6 AS INTEGER) AS c, CASE WHEN num_q % 4 > 0 THEN round(num_q / 50.0, 6) END AS twin,
+  row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, s1_id) = 1 AS kept FROM scored),
 b AS (SELECT *, CASE WHEN kept THEN p END AS k, CASE WHEN kept THEN row_number() OVER (PARTITION BY s1_id, kept ORDER BY p DESC, query_id) END AS r FROM a),
 g AS (SELECT s1_id, max(k) AS hm_max, max(CASE WHEN r = 2 THEN k END) AS hm_second, round(sum(k), 4) AS hm_sum, count(k) AS hm_cnt, count(CASE WHEN k > 0.5 THEN 1 END) AS hm_cnt05,
-  max(p) AS hm_all_max, round(sum(p), 4) AS hm_all_sum, count(*) AS hm_n_pairs FROM b GROUP BY 1)
-SELECT s.s1_id, hm_max, coalesce(hm_second, 0) AS hm_second, coalesce(hm_sum, 0) AS hm_sum, coalesce(hm_cnt, 0) AS hm_cnt, coalesce(hm_cnt05, 0) AS hm_cnt05, hm_all_max, coalesce(hm_all_sum, 0) AS hm_all_sum,
-  coalesce(hm_n_pairs, 0) AS hm_n_pairs FROM (SELECT s_suppkey AS s1_id FROM supplier UNION ALL SELECT -1) s LEFT JOIN g USING (s1_id)""")
+  max(p) AS hm_all_max, round(sum(p), 4) AS hm_all_sum, count(*) AS hm_n_pairs, CAST(sum(c) AS BIGINT) AS hm_claimants, CAST(sum(c * (1 - conflict)) AS BIGINT) AS hm_noconf,
+  CAST(sum(CASE WHEN extra_q = 0 THEN c ELSE 0 END) AS BIGINT) AS hm_noextra, max(CASE WHEN r = 1 THEN name_tsort END) AS hm_best_name, max(CASE WHEN r = 1 THEN addr_tsort END) AS hm_best_addr,
+  max(CASE WHEN r = 1 THEN v2 END) AS hm_best_v2, max(CASE WHEN r = 1 THEN twin END) AS hm_best_twin FROM b GROUP BY 1),
+e AS (SELECT s_suppkey AS s1_id, CAST(s_nationkey AS VARCHAR) AS name, CASE WHEN s_suppkey % 5 > 0 THEN s_name ELSE '' END AS addr FROM supplier UNION ALL SELECT -1, 'none', NULL)
+SELECT s.s1_id, round(ln(1 + count(*) OVER (PARTITION BY name)), 6) AS s1_name_freq, CAST(coalesce(addr, '') = '' AS INTEGER) AS s1_addr_missing,
+  hm_max, coalesce(hm_second, 0) AS hm_second, coalesce(hm_sum, 0) AS hm_sum, coalesce(hm_cnt, 0) AS hm_cnt, coalesce(hm_cnt05, 0) AS hm_cnt05, hm_all_max, coalesce(hm_all_sum, 0) AS hm_all_sum,
+  coalesce(hm_n_pairs, 0) AS hm_n_pairs, coalesce(hm_claimants, 0) AS hm_claimants, coalesce(hm_noconf, 0) AS hm_noconf, coalesce(hm_noextra, 0) AS hm_noextra,
+  hm_best_name, hm_best_addr, hm_best_v2, hm_best_twin FROM e s LEFT JOIN g USING (s1_id)""")
 def hasmatch_table(spark, sf):
-    s1 = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("s1_id")).unionByName(spark.range(1).select((F.col("id") - 1).alias("s1_id")))
-    rows = features.has_match_table(s1, candidate_pairs(spark, sf).select("query_id", "s1_id", F.col("base_score").alias("p2")))
-    return rows.withColumns({"hm_sum": F.round("hm_sum", 4), "hm_all_sum": F.round("hm_all_sum", 4)})
+    name, addr = F.col("s_nationkey").cast("string").alias("name"), F.when(F.col("s_suppkey") % 5 > 0, F.col("s_name")).otherwise("").alias("addr")
+    none = spark.range(1).select((F.col("id") - 1).alias("s1_id"), F.lit("none").alias("name"), F.lit(None).cast("string").alias("addr"))
+    s1 = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("s1_id"), name, addr).unionByName(none)
+    rows = features.has_match_table(s1, match_evidence(scored_pairs(spark, sf).withColumn("p2", F.col("base_score"))))
+    return rows.withColumns({"hm_sum": F.round("hm_sum", 4), "hm_all_sum": F.round("hm_all_sum", 4), "s1_name_freq": r6("s1_name_freq")})
+
+
+def match_evidence(pairs):
+    """Scored pairs with the columns that the has-match table reads."""
+    return pairs.withColumns({
+        "is_claimant": (F.col("base_score") >= 0.6).cast("int"), "no_conflict": 1 - F.col("conflict"), "no_extra": (F.col("extra_q") == 0).cast("int"),
+        "twin_combo": F.when(F.col("num_q") % 4 > 0, r6(F.col("num_q") / 50)),
+    })
 
 
 @query()
@@ -427,7 +444,7 @@ FROM f JOIN used u ON u.fold <> f.fold GROUP BY f.fold, u.token""")
 def target_encoding_oof(spark, sf):
     label = read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"))
     rows = parts(spark, sf).select("id", F.explode(F.array_distinct("words")).alias("token")).join(label, "id").withColumn("fold", (F.col("id") % 5).cast("int"))
-    return scoring.target_encoding(rows).withColumn("score", r6("score"))
+    return scoring.target_encoding(rows).select("fold", "token", r6("score").alias("score"))
 
 
 @query(f"""WITH {SCORED}, g AS (SELECT a / 10.0 AS wn, b / 10.0 AS wa, (10 - a - b) / 10.0 AS wm FROM range(1, 11) t(a), range(0, 10) u(b) WHERE a + b <= 10),
@@ -502,20 +519,31 @@ def dedupe_consecutive(spark, sf):
     return rows.select("doc_id", F.size("w").cast("bigint").alias("words"), F.size(text.collapse_repeats(F.col("w"))).cast("bigint").alias("collapsed"))
 
 
-@query("""SELECT * FROM (VALUES ('123 Main St, Boston', '123 main street, boston', '123'), ('12 St Pierre, Lyon', '12 saint pierre, lyon', '12'), ('63 R. DE DIEPPE, LILLE', '63 rue de dieppe, lille', '63'),
-  ('607 VIRGINIA ST, PO BOX 2342, N/A, TERRELL, TX', '607 virginia street, terrell, tx', '607'), ('02007 Robyn Rd', '02007 robyn road', '007')) t(raw, addr_clean, keys)""")
+# A table with addresses and names: parts and customers, written with the forms that the normalisers know.
+@query("""WITH a AS (SELECT p_partkey AS id, p_size AS n, split_part(p_name, ' ', 1) AS w, split_part(p_name, ' ', 2) AS v, p_partkey % 6 AS k FROM part)
+SELECT id, CASE k WHEN 0 THEN concat(n, ' ', w, ' street, ', v) WHEN 1 THEN concat(n, ' saint ', w, ', ', v) WHEN 2 THEN concat(n, ' rue de ', w, ', ', v)
+    WHEN 3 THEN concat(n, ' ', w, ' street, ', v) WHEN 4 THEN concat('00', n, ' ', w, ' road, ', v) ELSE concat(w, ' drive, ', v) END AS addr_clean,
+  CASE WHEN k = 5 THEN '' ELSE CAST(n AS VARCHAR) END AS numbers, CASE k WHEN 5 THEN '' ELSE right(concat('00', n), 3) END AS num_keys, CASE WHEN k = 3 THEN CAST(id AS VARCHAR) ELSE '' END AS filler FROM a""")
 def addr_expand(spark, sf):
-    raw = ["123 Main St, Boston", "12 St Pierre, Lyon", "63 R. DE DIEPPE, LILLE", "607 VIRGINIA ST, PO BOX 2342, N/A, TERRELL, TX", "02007 Robyn Rd"]
-    rows = text.normalize_addresses(spark.createDataFrame([(x,) for x in raw], "raw string"), "raw")
-    keys = F.when(F.col("raw").startswith("0"), F.array_join("num_keys", " ")).otherwise(F.array_join("numbers", " "))
-    return rows.select("raw", "addr_clean", keys.alias("keys"))
-
-
-@query("""SELECT * FROM (VALUES ('Sharma Foods (Pvt) Ltd', 'sharma foods', 'PRIVATE_LIMITED'), ('Grain & Fils', 'grain', 'FILS'), ('springdalecity.com #39256', 'springdalecity', ''),
-  ('M/s Special India Traders', 'special india traders', ''), ('Hotel Constructions Pub Ltd', 'hotel constructions', 'PUBLIC_LIMITED')) t(raw, name_core, legal_form)""")
+    first, other, n = F.split("p_name", " ")[0], F.split("p_name", " ")[1], F.col("p_size").cast("string")
+    forms = [
+        F.concat(n, F.lit(" "), F.upper(first), F.lit(" St, "), other), F.concat(n, F.lit(" St. "), first, F.lit(", "), F.initcap(other)), F.concat(n, F.lit(" R. DE "), first, F.lit(", "), other),
+        F.concat(n, F.lit(" "), first, F.lit(" ST, PO BOX "), F.col("p_partkey").cast("string"), F.lit(", N/A, "), other), F.concat(F.lit("00"), n, F.lit(" "), first, F.lit(" Rd, "), other), F.concat(first, F.lit(" Dr, ("), other, F.lit(")")),
+    ]
+    raw = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = text.normalize_addresses(read(spark, sf, "part").select(F.col("p_partkey").alias("id"), raw.alias("raw")), "raw")
+    return rows.select("id", "addr_clean", F.array_join("numbers", " ").alias("numbers"), F.array_join("num_keys", " ").alias("num_keys"), F.array_join("filler_numbers", " ").alias("filler"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS id, lower(p_name) AS c, p_partkey % 6 AS k FROM part)
+SELECT id, c AS name_core, replace(c, ' ', '') AS name_compact, left(c, 1) || substr(c, strpos(c, ' ') + 1, 1) AS initials,
+  CASE k WHEN 0 THEN 'PRIVATE_LIMITED' WHEN 1 THEN 'FILS' WHEN 3 THEN 'PUBLIC_LIMITED' WHEN 5 THEN 'LIMITED' ELSE '' END AS legal_form FROM a""")
 def legal_forms(spark, sf):
-    raw = ["Sharma Foods (Pvt) Ltd", "Grain & Fils", "springdalecity.com #39256", "M/s Special India Traders", "Hotel Constructions Pub Ltd"]
-    return text.normalize_names(spark.createDataFrame([(x,) for x in raw], "raw string"), "raw").select("raw", "name_core", "legal_form")
+    forms = [" (Pvt) Ltd", " & Fils", " #39256", " Pub Ltd", "", " LTD."]
+    before = F.when(F.col("p_partkey") % 6 == 4, "M/s ").otherwise("")
+    end = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(before, F.initcap("p_name"), end).alias("raw"))
+    return text.normalize_names(rows, "raw").select("id", "name_core", "name_compact", "initials", "legal_form")
 
 
 @query()
@@ -584,7 +612,7 @@ def region_sample_folds(spark, sf):
     return evaluation.sample_regions(read(spark, sf, "customer"), "c_mktsegment", "c_nationkey", 0.2, 5)
 
 
-@query(f"WITH {WORDS}, n AS (SELECT token, country, count(*) AS n FROM word_rows GROUP BY ALL), b AS (SELECT token, max({{'n': n, 'country': country}}) AS b, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY 1) SELECT token, b.country AS country, b.n AS n, total FROM b WHERE b.n >= 5 AND b.n >= 0.05 * total")
+@query(f"WITH {WORDS}, n AS (SELECT token, country, count(*) AS n FROM word_rows GROUP BY ALL), b AS (SELECT token, max({{'n': n, 'country': country}}) AS b, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY 1) SELECT token, b.country AS country, b.n AS n, total FROM b WHERE total >= 5 AND b.n >= 0.05 * total")
 def pure_votes(spark, sf):
     rows = parts(spark, sf).select("country", F.explode(F.array_distinct("words")).alias("token"))
     return evaluation.pure_votes(rows, "token", "country", 5, 0.05)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recolink.operators import diagnostics, evaluation, features, scoring
-from recolink.plans.catalogue import ENTITIES, PAIRS, SCORED, STAGE1, UNION, WORDS, _labelled_pairs, _pass_c, parts, pass_a_candidates, query, r6, read, scored_pairs, truth_tables
+from recolink.plans.catalogue import ENTITIES, PAIRS, SCORED, STAGE1, UNION, WORDS, _labelled_pairs, _pass_c, match_evidence, parts, pass_a_candidates, query, r6, read, scored_pairs, truth_tables
 
 # ------------------------------------------------------------------ fixtures
 ACCEPT = 0.64
@@ -212,7 +212,7 @@ def pass_overlap(spark, sf):
 
 # ------------------------------------------------------------------ models
 STAGE2 = [*STAGE1, "p1", "p1_s1_max", "p1_s1_second", "p1_s1_sum", "p1_s1_cnt05", "p1_s1_rank", "p1_minus_s1max", "p1_s1_other_max", "p1_q_other_max", "p1_q_margin", "p1_q_rank"]
-HAS_MATCH = ["hm_max", "hm_second", "hm_sum", "hm_cnt", "hm_cnt05", "hm_all_max", "hm_all_sum", "hm_n_pairs"]
+HAS_MATCH = ["hm_max", "hm_second", "hm_sum", "hm_cnt", "hm_cnt05", "hm_all_max", "hm_all_sum", "hm_n_pairs", "hm_claimants", "hm_noconf", "hm_noextra", "hm_best_name", "hm_best_addr", "hm_best_v2", "hm_best_twin", "s1_name_freq", "s1_addr_missing"]
 
 
 @query()
@@ -221,9 +221,10 @@ def match_pipeline(spark, sf):
     first = scoring.cross_validated(_labelled_pairs(spark, sf), STAGE1, "p1", trees=4, depth=3)
     staged = features.stage_features(first).cache()
     second = scoring.cross_validated(staged, STAGE2, "p2", trees=4, depth=3).select("query_id", "s1_id", "label", "fold", "p2").cache()
-    s1 = suppliers(spark, sf).select("s1_id")
+    s1 = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("s1_id"), F.col("s_nationkey").cast("string").alias("name"), F.col("s_name").alias("addr"))
+    evidence = match_evidence(scored_pairs(spark, sf)).drop("label").join(second.select("query_id", "s1_id", "p2"), ["query_id", "s1_id"])
     matched = second.where("label = 1").groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
-    table = features.has_match_table(s1, second.select("query_id", "s1_id", "p2")).join(matched, "s1_id", "left")
+    table = features.has_match_table(s1, evidence).join(matched, "s1_id", "left")
     table = table.withColumns({"label": (F.coalesce("n", F.lit(0)) > 180).cast("int"), "fold": (F.col("s1_id") % 5).cast("int")}).select("s1_id", "label", "fold", *[F.col(c).cast("double") for c in HAS_MATCH])
     h = scoring.cross_validated(table, HAS_MATCH, "h", trees=4, depth=3).select("s1_id", "h")
     chosen = scoring.one_to_one(second, "p2").select("query_id", "s1_id", F.col("p2").alias("p"))
