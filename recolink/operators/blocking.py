@@ -16,17 +16,26 @@ def token_df(records: DataFrame, items: str, part: str = "country") -> DataFrame
     return records.select(part, F.explode(F.array_distinct(items)).alias("token")).groupBy(part, "token").agg(F.count(F.lit(1)).alias("df"))
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """df, of which the planner no longer knows that it is partitioned by its (string) keys.
+
+    A join on them then gets an exchange of its own on both sides, which is what lets adaptive execution split the other
+    side's hot keys; df is an aggregate and small beside that.
+    """
+    return df.withColumns({k: F.concat(F.col(k), F.lit("")) for k in keys})
+
+
 def rarest_tokens(records: DataFrame, ident: str, items: str, df: DataFrame, keep: int = 2, part: str = "country") -> DataFrame:
     """The tokens of each record with the least document frequency (ties by token); tokens without one are skipped."""
-    rows = records.select(part, ident, F.explode(F.array_distinct(items)).alias("token")).join(df, [part, "token"])
+    rows = records.select(part, ident, F.explode(F.array_distinct(items)).alias("token")).join(dealt_anew(df, "token"), [part, "token"])
     rank = F.row_number().over(Window.partitionBy(part, ident).orderBy("df", "token"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
 def cap_blocks(keys: DataFrame, key: list[str], most: int) -> DataFrame:
-    """Rows whose key has at most so many rows. Counted by aggregation: a hot key is one row after the map side."""
+    """Rows whose key has at most so many rows. Counted by aggregation: a hot key is one row after the map side, and split in the join."""
     small = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= most).drop("__n")
-    return keys.join(small, key, "left_semi")
+    return keys.join(dealt_anew(small, *[k for k in key if keys.schema[k].dataType.simpleString() == "string"]), key, "left_semi")
 
 
 def shared_key_candidates(queries: DataFrame, s1: DataFrame, key: list[str], most: int = 50, keep: int = 20) -> DataFrame:
@@ -45,7 +54,7 @@ def top_k(pairs: DataFrame, score: str, k: int, by: str = "query_id", tie: str =
 def tfidf_weights(records: DataFrame, ident: str, grams: str, vocabulary: DataFrame, part: str = "country") -> DataFrame:
     """(partition, gram, id, weight): sublinear tf times smooth idf of the vocabulary, scaled to unit length per record."""
     tf = records.select(part, ident, F.explode(grams).alias("gram")).groupBy(part, ident, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    raw = tf.join(vocabulary, [part, "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    raw = tf.join(dealt_anew(vocabulary, "gram"), [part, "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = raw.groupBy(part, ident).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, [part, ident]).select(part, "gram", ident, (F.col("w") / F.col("norm")).alias("weight"))
 

@@ -125,10 +125,24 @@ def decode(pairs: DataFrame, has_match: DataFrame | None = None, p: str = "p", m
     return kept.where(F.col("pos") < F.col("k")).select((-F.col("x.q")).alias("query_id"), "s1_id", F.col("x.p").alias(p))
 
 
-def isotonic_bins(rows: DataFrame, p: str, label: str, tie: str, bins: int = 2000) -> DataFrame:
-    """bin, mean p, mean label and count of equally full bins. ntile needs the global order, so rows meet in one task: give it the held-out fold, not the corpus."""
-    ranked = rows.select(F.ntile(bins).over(Window.orderBy(p, tie)).alias("bin"), p, label)
-    return ranked.groupBy("bin").agg(F.avg(p).alias("mean_p"), F.avg(F.col(label).cast("double")).alias("mean_label"), F.count(F.lit(1)).alias("n"))
+def isotonic_bins(rows: DataFrame, p: str, label: str, tie: str, bins: int = 2000, cells: int = 4096) -> DataFrame:
+    """bin, mean p, mean label and count of equally full bins (the first ones take one row more, as ntile has it).
+
+    Rows are ranked cell by cell of p, and the cells' sizes, at most ``cells`` + 1 rows, give each cell's first rank; so
+    no task sorts all rows, unless all have one p.
+    """
+    cell = F.floor(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)) * cells).cast("int")
+    own = rows.select(F.col(p).alias("__p"), F.col(label).cast("double").alias("__y"), F.col(tie).alias("__t"), cell.alias("__c"))
+    sizes = own.groupBy("__c").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumns({
+        "__before": F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__c")) - F.col("__n"), "__all": F.sum("__n").over(Window.partitionBy(F.lit(0))),
+    }).drop("__n")
+    rank = F.row_number().over(Window.partitionBy("__c").orderBy("__p", "__t")) + F.col("__before")
+    ranked = own.join(F.broadcast(before), "__c").withColumn("__r", rank)
+    least, more = F.floor(F.col("__all") / bins), F.col("__all") % bins
+    wide = more * (least + 1)
+    number = F.when(F.col("__r") <= wide, F.ceil(F.col("__r") / (least + 1))).otherwise(more + F.ceil((F.col("__r") - wide) / F.greatest(least, F.lit(1))))
+    return ranked.groupBy(number.cast("int").alias("bin")).agg(F.avg("__p").alias("mean_p"), F.avg("__y").alias("mean_label"), F.count(F.lit(1)).alias("n"))
 
 
 def fit_isotonic(rows: DataFrame, p: str, label: str):
