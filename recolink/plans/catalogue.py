@@ -461,7 +461,18 @@ def isotonic_bins(spark, sf):
     return scoring.isotonic_bins(rows, "base_score", "label", "pair", 50).withColumns({"mean_p": r6("mean_p"), "mean_label": r6("mean_label")})
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS}, o AS (SELECT query_id, s1_id, base_score AS p FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, s1_id) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, query_id) AS rank, greatest(least(max(p) OVER (PARTITION BY s1_id), 1.0), 1e-6) AS h FROM o),
+l AS (SELECT s1_id, any_value(h) AS h, list(least(p / h, 1.0) ORDER BY rank) AS q FROM ranked WHERE rank <= 12 GROUP BY 1),
+t AS (SELECT *, list_transform(range(0, 5), lambda m: exp(-r) * pow(r, m) / factorial(CAST(m AS INTEGER))) AS mass FROM (SELECT *, 0.05 / 0.95 * list_sum(q) AS r FROM l)),
+heads AS (SELECT s1_id, 0 AS k, [CAST(1 AS DOUBLE)] AS d FROM t UNION ALL
+  SELECT s1_id, k + 1, list_transform(range(1, len(d) + 2), lambda j: coalesce(d[j], 0) * (1 - q[k + 1]) + CASE WHEN j > 1 THEN d[j - 1] * q[k + 1] ELSE 0 END) FROM heads JOIN t USING (s1_id) WHERE k < len(q)),
+rest AS (SELECT s1_id, len(q) AS k, list_transform(mass, lambda x: x / list_sum(mass)) AS d FROM t UNION ALL
+  SELECT s1_id, k - 1, list_transform(range(1, len(d) + 2), lambda j: coalesce(d[j], 0) * (1 - q[k]) + CASE WHEN j > 1 THEN d[j - 1] * q[k] ELSE 0 END) FROM rest JOIN t USING (s1_id) WHERE k > 0),
+gain AS (SELECT heads.s1_id, heads.k, h * CASE WHEN heads.k = 0 THEN rest.d[1] ELSE list_sum(list_transform(range(0, len(heads.d)), lambda a: heads.d[a + 1] * list_sum(list_transform(range(0, len(rest.d)), lambda b: rest.d[b + 1] * 1.25 * a / (heads.k + 0.25 * (a + b)))))) END
+    + CASE WHEN heads.k = 0 THEN 1 - h ELSE 0 END AS gain FROM heads JOIN rest ON heads.s1_id = rest.s1_id AND heads.k = rest.k JOIN t ON t.s1_id = heads.s1_id),
+best AS (SELECT s1_id, k FROM gain QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY round(gain, 12) DESC, k) = 1)
+SELECT query_id, s1_id, p FROM ranked JOIN best USING (s1_id) WHERE rank <= k""")
 def expected_f05_decode(spark, sf):
     pairs = scoring.one_to_one(candidate_pairs(spark, sf), "base_score").select("query_id", "s1_id", F.col("base_score").alias("p"))
     return scoring.decode(pairs, pairs.groupBy("s1_id").agg(F.max("p").alias("h")))
@@ -482,8 +493,14 @@ def stage1_gbt(spark, sf):
     return rows.select("query_id", "s1_id", "label", r6("p1").alias("p1"))
 
 
-@query()
+@query(f"""WITH {PAIRS}, u AS (SELECT base_score AS p, count(*) AS n, sum(CAST(extra_q = 0 AS INTEGER)) AS y, row_number() OVER (ORDER BY base_score) AS i FROM pairs GROUP BY 1),
+c AS (SELECT *, sum(n) OVER (ORDER BY i) AS cn, sum(y) OVER (ORDER BY i) AS cy FROM u),
+m AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.i <= b.i),
+f AS (SELECT a, i, min(mean) AS low FROM m JOIN u ON a <= u.i AND b >= u.i GROUP BY a, i),
+g AS (SELECT i, max(low) AS fitted FROM f GROUP BY 1)
+SELECT query_id, s1_id, round(fitted, 6) AS calibrated FROM pairs JOIN u ON base_score = u.p JOIN g USING (i)""")
 def calibrated(spark, sf):
+    """Isotonic calibration; the SQL is its max-min formula over all runs of neighbouring scores."""
     rows = candidate_pairs(spark, sf).select("query_id", "s1_id", "base_score", (F.col("extra_q") == 0).cast("double").alias("label"))
     return scoring.fit_isotonic(rows, "base_score", "label").transform(rows).select("query_id", "s1_id", r6("calibrated").alias("calibrated"))
 
@@ -591,7 +608,11 @@ def extra_words(spark, sf):
     return rows.select("p_partkey", F.array_join("w", " ").alias("extra"))
 
 
-@query()
+@query("""WITH w AS (SELECT string_split(p_name, ' ') AS a, string_split(concat_ws(' ', lower(p_type), lower(p_brand)), ' ') AS b FROM part),
+j AS (SELECT list_filter(a, lambda x: NOT list_contains(b, x)) AS u, list_filter(b, lambda x: NOT list_contains(a, x)) AS v FROM w),
+z AS (SELECT unnest(list_zip(u, v)) AS p FROM j WHERE len(u) > 0 AND len(u) = len(v)),
+n AS (SELECT p[1] AS x, p[2] AS y, count(*) AS support FROM z WHERE length(p[1]) >= 2 AND NOT regexp_matches(p[1], '^[0-9]+$') GROUP BY ALL), o AS (SELECT *, sum(support) OVER (PARTITION BY x) AS occ FROM n)
+SELECT x, y, support, CAST(occ AS BIGINT) AS occ FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY x ORDER BY support DESC, y) = 1) WHERE support >= 2 AND support / occ >= 0.01 AND x <> y""")
 def mined_dictionary(spark, sf):
     rows = read(spark, sf, "part").select(F.explode(kernels.aligned_tokens("p_name", F.concat_ws(" ", F.lower("p_type"), F.lower("p_brand")))).alias("w")).select("w.x", "w.y")
     return blocking.mine_dictionary(rows, least=2, purity=0.01)
