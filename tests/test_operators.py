@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recolink.operators import blocking, diagnostics, evaluation, features, scoring
-from recolink.plans import catalogue, reports  # noqa: F401
+from recolink.plans import catalogue, linkage, reports  # noqa: F401
 from recolink.sources import tables
 from recolink.streaming import resolver
 
