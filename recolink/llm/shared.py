@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where it is unset a folder of our own, on one machine only: executors of a cluster wouldn't share it."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.match(r"local(\[[^,]*\])?$", context.master):
+    if not found and not re.match(r"local(\[.*\])?$", context.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or f"file:///tmp/checkpoints/{os.getpid()}").rstrip("/")
 

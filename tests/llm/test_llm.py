@@ -41,6 +41,18 @@ def rows_of(spark):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
 
 
+def test_off_one_machine_a_shared_folder_must_be_named():
+    from types import SimpleNamespace as Some
+
+    from recolink.llm import shared
+
+    at = lambda master, folder=None: Some(sparkContext=Some(master=master, getConf=lambda: {"spark.checkpoint.dir": folder}), conf=Some(get=lambda key, default: default))
+    assert shared.shared_dir(at("yarn", "hdfs://x/y/")) == "hdfs://x/y" and shared.shared_dir(at("local[4,2]")).startswith("file:///tmp/")
+    for master in ("yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared.shared_dir(at(master))
+
+
 # ------------------------------------------------------------------ exact dedup
 def brute_exact(rows):
     import re
