@@ -42,7 +42,8 @@ PRIVATE_KEY = (
 #: Formats that tell by themselves, and those that only tell at the start of a path part.
 FORMATS = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|xox[abprs]-|AIza)[A-Za-z0-9_\-]{20,}|[spr]k_(?:live|test)_[A-Za-z0-9_\-]{16,})"
 CANDIDATE = (
-    r"(?:(?<![A-Za-z0-9_\-])"
+    # names are looked for only in an identifier that a sign follows
+    r"""(?:(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]*+["']?[ \t]{0,3}[:=])"""
     + ASSIGN
     # a value ends where the next parameter of a URL begins
     + r"""(?!-----BEGIN )(?:(?!&[A-Za-z0-9_.\-]{1,40}=)[^\s"',;]){6,}+"""
