@@ -575,25 +575,31 @@ def dictionary_map(spark, sf):
     return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(text.replace_tokens(F.split(F.lower("p_name"), " "), table), " ").alias("mapped"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b, CAST(levenshtein(a.name, b.name) AS INTEGER) AS edits FROM n a JOIN n b ON left(a.name, 2) = left(b.name, 2) AND a.name < b.name""")
+NAME_PAIRS = """n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, unnest(list_distinct(string_split(name, ' '))) AS word FROM n),
+pairs AS (SELECT DISTINCT a.name AS a, b.name AS b FROM w a JOIN w b ON a.word = b.word AND a.name < b.name)"""
+
+
+def name_pairs(spark, sf):
+    """Every two distinct names that share a word."""
+    words = read(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().select("a", F.explode(F.array_distinct(F.split("a", " "))).alias("word"))
+    return words.join(words.withColumnRenamed("a", "b"), "word").where("a < b").select("a", "b").distinct()
+
+
+@query(f"WITH {NAME_PAIRS} SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS edits FROM pairs")
 def levenshtein_pairs(spark, sf):
-    n = read(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.substring("a", 1, 2))
-    return n.join(n.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b", F.levenshtein("a", "b").alias("edits"))
+    return name_pairs(spark, sf).select("a", "b", F.levenshtein("a", "b").alias("edits"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b, round(jaro_winkler_similarity(a.name, b.name), 6) AS jw FROM n a JOIN n b ON left(a.name, 2) = left(b.name, 2) AND a.name < b.name""")
+@query(f"WITH {NAME_PAIRS} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS jw FROM pairs")
 def jaro_winkler_pairs(spark, sf):
-    n = read(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.substring("a", 1, 2))
-    pairs = n.join(n.withColumnRenamed("a", "b"), "k").where("a < b")
-    return pairs.select("a", "b", r6(kernels.pairwise(kernels.jaro_winkler)("a", "b")).alias("jw"))
+    return name_pairs(spark, sf).select("a", "b", r6(kernels.pairwise(kernels.jaro_winkler)("a", "b")).alias("jw"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, ' ')) AS t FROM part)
-SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 6) AS jaccard FROM n a JOIN n b ON left(a.name, 2) = left(b.name, 2) AND a.name < b.name""")
+@query(f"""WITH {NAME_PAIRS}, t AS (SELECT *, list_distinct(string_split(a, ' ')) AS s, list_distinct(string_split(b, ' ')) AS t FROM pairs)
+SELECT a, b, round(len(list_intersect(s, t)) / len(list_distinct(s || t)), 6) AS jaccard FROM t""")
 def token_jaccard(spark, sf):
-    n = read(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.substring("a", 1, 2)).withColumn("s", F.split("a", " "))
-    pairs = n.join(n.select("k", F.col("a").alias("b"), F.col("s").alias("t")), "k").where("a < b")
-    return pairs.select("a", "b", r6(F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t"))).alias("jaccard"))
+    s, t = F.split("a", " "), F.split("b", " ")
+    return name_pairs(spark, sf).select("a", "b", r6(F.size(F.array_intersect(s, t)) / F.size(F.array_union(s, t))).alias("jaccard"))
 
 
 @query()
