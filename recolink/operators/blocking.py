@@ -2,7 +2,8 @@
 
 Nothing here broadcasts a side that grows with the data; every join is an
 equi-join on (partition key, token), whose heaviest tokens are cut by document
-frequency first, as the method itself asks.
+frequency first, as the method itself asks. Spark takes exploded rows to be as
+small as the file they come from, so joins right after an explode are told to merge.
 """
 
 from __future__ import annotations
@@ -25,9 +26,14 @@ def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.concat(F.col(k), F.lit("")) for k in keys})
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts and merges, whatever size the planner takes it to have; never broadcast."""
+    return df.hint("merge")
+
+
 def rarest_tokens(records: DataFrame, ident: str, items: str, df: DataFrame, keep: int = 2, part: str = "country") -> DataFrame:
     """The tokens of each record with the least document frequency (ties by token); tokens without one are skipped."""
-    rows = records.select(part, ident, F.explode(F.array_distinct(items)).alias("token")).join(dealt_anew(df, "token"), [part, "token"])
+    rows = records.select(part, ident, F.explode(F.array_distinct(items)).alias("token")).join(merged(dealt_anew(df, "token")), [part, "token"])
     rank = F.row_number().over(Window.partitionBy(part, ident).orderBy("df", "token"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= keep)
 
@@ -35,13 +41,13 @@ def rarest_tokens(records: DataFrame, ident: str, items: str, df: DataFrame, kee
 def cap_blocks(keys: DataFrame, key: list[str], most: int) -> DataFrame:
     """Rows whose key has at most so many rows. Counted by aggregation: a hot key is one row after the map side, and split in the join."""
     small = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= most).drop("__n")
-    return keys.join(dealt_anew(small, *[k for k in key if keys.schema[k].dataType.simpleString() == "string"]), key, "left_semi")
+    return keys.join(merged(dealt_anew(small, *[k for k in key if keys.schema[k].dataType.simpleString() == "string"])), key, "left_semi")
 
 
 def shared_key_candidates(queries: DataFrame, s1: DataFrame, key: list[str], most: int = 50, keep: int = 20) -> DataFrame:
     """query_id, s1_id, score (shared keys) and rank; keys with more than ``most`` S1 rows make no pair."""
     right = cap_blocks(s1.select(*key, "s1_id").distinct(), key, most)
-    pairs = queries.select(*key, "query_id").distinct().join(right, key).groupBy("query_id", "s1_id").agg(F.count(F.lit(1)).alias("score"))
+    pairs = queries.select(*key, "query_id").distinct().join(merged(right), key).groupBy("query_id", "s1_id").agg(F.count(F.lit(1)).alias("score"))
     return top_k(pairs, "score", keep)
 
 
@@ -51,12 +57,30 @@ def top_k(pairs: DataFrame, score: str, k: int, by: str = "query_id", tie: str =
     return pairs.withColumn(name, rank).where(F.col(name) <= k)
 
 
+def gram_classes(records: DataFrame, ident: str, grams: str, part: str = "country") -> tuple[DataFrame, DataFrame]:
+    """(class, id) of each record and (class, size, partition, gram, tf) of each class: records with the same partitions and grams.
+
+    What hangs on the grams alone is worked out once a class. Rows that repeat an id are one record; ids of null are none.
+    """
+    rows = records.where(F.col(ident).isNotNull()).select(ident, F.struct(part, F.array_sort(grams).alias("grams")).alias("__row"))
+    whole = rows.groupBy(ident).agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
+    name = F.md5(F.to_json("__rows")).alias("class")
+    each = whole.groupBy("__rows").agg(F.count(F.lit(1)).alias("size")).select(name, "size", F.inline("__rows")).select("class", "size", part, F.explode("grams").alias("gram"))
+    return whole.select(name, ident), each.groupBy("class", "size", part, "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def class_weights(classes: DataFrame, vocabulary: DataFrame, part: str = "country") -> DataFrame:
+    """(class, partition, gram, weight): sublinear tf times smooth idf of the vocabulary, scaled to unit length per class and partition."""
+    raw = classes.join(merged(dealt_anew(vocabulary, "gram")), [part, "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    norm = raw.groupBy("class", part).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(merged(norm), ["class", part]).select("class", part, "gram", (F.col("w") / F.col("norm")).alias("weight"))
+
+
 def tfidf_weights(records: DataFrame, ident: str, grams: str, vocabulary: DataFrame, part: str = "country") -> DataFrame:
-    """(partition, gram, id, weight): sublinear tf times smooth idf of the vocabulary, scaled to unit length per record."""
-    tf = records.select(part, ident, F.explode(grams).alias("gram")).groupBy(part, ident, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    raw = tf.join(dealt_anew(vocabulary, "gram"), [part, "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy(part, ident).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, [part, ident]).select(part, "gram", ident, (F.col("w") / F.col("norm")).alias("weight"))
+    """(partition, gram, id, weight): each record's weights are its class's."""
+    members, classes = gram_classes(records, ident, grams, part)
+    weights = dealt_anew(class_weights(classes, vocabulary, part), "class")
+    return members.join(merged(weights), "class").select(part, "gram", ident, "weight")
 
 
 def fit_vocabulary(records: DataFrame, ident: str, grams: str, min_df: int = 2, max_share: float = 0.03, most: int = 600_000, part: str = "country") -> DataFrame:
@@ -65,9 +89,9 @@ def fit_vocabulary(records: DataFrame, ident: str, grams: str, min_df: int = 2,
     Of more than ``most`` grams those stay that occur most often, counting every occurrence (ties by gram).
     """
     sizes = records.groupBy(part).agg(F.count_distinct(ident).alias("n"))
-    tf = records.select(part, ident, F.explode(grams).alias("gram")).groupBy(part, "gram", ident).agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(part, "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("__tf"))
-    kept = df.join(sizes, part).where((F.col("df") >= min_df) & (F.col("df") <= F.greatest(F.lit(min_df), F.floor(F.col("n") * max_share))))
+    _, classes = gram_classes(records, ident, grams, part)
+    df = classes.groupBy(part, "gram").agg(F.sum("size").alias("df"), F.sum(F.col("size") * F.col("tf")).alias("__tf"))
+    kept = df.join(merged(sizes), part).where((F.col("df") >= min_df) & (F.col("df") <= F.greatest(F.lit(min_df), F.floor(F.col("n") * max_share))))
     rank = F.row_number().over(Window.partitionBy(part).orderBy(F.desc("__tf"), "gram"))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     return kept.withColumn("__r", rank).where(F.col("__r") <= most).select(part, "gram", "df", idf.alias("idf"))
@@ -78,10 +102,27 @@ def cosine_candidates(q: DataFrame, s: DataFrame, keep: int = 10, part: str = "c
 
     With ``digits`` the score is rounded, so that ties don't hang on the order of a sum.
     """
-    pairs = q.withColumnRenamed("weight", "wq").join(s.withColumnRenamed("weight", "ws"), [part, "gram"])
+    return top_k(cosines(q, s, "query_id", "s1_id", part, digits), "score", keep)
+
+
+def cosines(q: DataFrame, s: DataFrame, left: str, right: str, part: str, digits: int | None) -> DataFrame:
+    pairs = q.withColumnRenamed("weight", "wq").join(merged(s.withColumnRenamed("weight", "ws")), [part, "gram"])
     score = F.sum(F.col("wq") * F.col("ws"))
-    pairs = pairs.groupBy("query_id", "s1_id").agg((F.round(score, digits) if digits else score).alias("score"))
-    return top_k(pairs, "score", keep)
+    return pairs.groupBy(left, right).agg((F.round(score, digits) if digits else score).alias("score"))
+
+
+def similar_records(queries: DataFrame, s1: DataFrame, grams: str, vocabulary: DataFrame, keep: int = 10, part: str = "country", digits: int | None = None) -> DataFrame:
+    """cosine_candidates of records (query_id or s1_id, partition, grams): the posting lists hold classes, not records.
+
+    All S1 of a class score alike, so only its ``keep`` smallest ids can be among a query's best; a query class's best
+    are those of each of its queries. Copies therefore cost a row each, and work grows with pairs of different records.
+    """
+    asking, left = gram_classes(queries, "query_id", grams, part)
+    said, right = gram_classes(s1, "s1_id", grams, part)
+    pairs = cosines(class_weights(left, vocabulary, part).withColumnRenamed("class", "__q"), class_weights(right, vocabulary, part).withColumnRenamed("class", "__s"), "__q", "__s", part, digits)
+    first = said.withColumn("__r", F.row_number().over(Window.partitionBy("class").orderBy("s1_id"))).where(F.col("__r") <= keep).select(F.col("class").alias("__s"), "s1_id")
+    best = top_k(pairs.join(merged(first), "__s").select("__q", "s1_id", "score"), "score", keep, by="__q").withColumnRenamed("__q", "class")
+    return asking.join(merged(dealt_anew(best, "class")), "class").select("query_id", "s1_id", "score", "rank")
 
 
 def rare_token_candidates(queries: DataFrame, s1: DataFrame, items: str, text: str, similarity, most: int = 50, least: float = 0.5, keep: int = 3, part: str = "country") -> DataFrame:
