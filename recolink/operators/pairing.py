@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from recolink.functions import kernels, numbers, text
 from recolink.operators import features
+from recolink.operators.blocking import merged
 from recolink.operators.evaluation import f05
 from recolink.operators.scoring import best_prefix
 
@@ -24,7 +25,7 @@ def pair_table(candidates: DataFrame, queries: DataFrame, s1: DataFrame) -> Data
     queries and s1 have their id and TEXTS (the last two are arrays). Two equi-joins by id; kernels run once a pair.
     """
     side = lambda df, ident, p: df.select(ident, *[F.col(c).alias(f"{p}_{c}") for c in TEXTS])
-    rows = candidates.join(side(queries, "query_id", "q"), "query_id").join(side(s1, "s1_id", "s"), "s1_id")
+    rows = candidates.join(merged(side(queries, "query_id", "q")), "query_id").join(merged(side(s1, "s1_id", "s")), "s1_id")
     bare = lambda c: text.strip_digits(F.coalesce(c, F.lit("")))
     rows = rows.withColumn("__sim", kernels.pair_similarities("q_name_core", "s_name_core", bare(F.col("q_addr_clean")), bare(F.col("s_addr_clean"))))
     rows = rows.select("*", "__sim.*").drop("__sim")
@@ -48,7 +49,7 @@ def pair_table(candidates: DataFrame, queries: DataFrame, s1: DataFrame) -> Data
 
 def labelled(pairs: DataFrame, truth: DataFrame, folds: DataFrame) -> DataFrame:
     """pairs with label (1 if the query's true S1 is the pair's), q_true_s1 (-1: none) and the S1's fold; truth: query_id, true_s1; folds: s1_id, fold."""
-    rows = pairs.join(truth.select("query_id", F.col("true_s1").alias("q_true_s1")), "query_id", "left").join(folds.select("s1_id", "fold"), "s1_id", "left")
+    rows = pairs.join(merged(truth.select("query_id", F.col("true_s1").alias("q_true_s1"))), "query_id", "left").join(merged(folds.select("s1_id", "fold")), "s1_id", "left")
     return rows.withColumns({"label": F.coalesce((F.col("q_true_s1") == F.col("s1_id")).cast("int"), F.lit(0)), "q_true_s1": F.coalesce("q_true_s1", F.lit(-1).cast("long"))})
 
 

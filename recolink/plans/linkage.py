@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recolink.functions import numbers, text
 from recolink.operators import blocking, evaluation, pairing, scoring
-from recolink.plans.catalogue import ENTITIES, PAIRS, PASS_A, SCORED, WORDS, candidate_pairs, parts, pass_a_candidates, query, r6, read, scored_pairs, truth_tables
+from recolink.plans.catalogue import ENTITIES, PAIRS, PASS_A, SCORED, WORDS, candidate_pairs, parts, pass_a_candidates, query, r6, read, scored_pairs, similar_parts, truth_tables
 
 
 # ------------------------------------------------------------------ candidates
@@ -26,9 +26,7 @@ def pass_c_full_text(spark, sf):
     """Pass C over the compact name, the name and the address."""
     name, kind = F.lower("p_name"), F.lower("p_type")
     rows = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("country"), text.char_grams(text.pass_c_text(F.replace(name, F.lit(" "), F.lit("")), name, kind)).alias("grams"))
-    vocabulary = blocking.fit_vocabulary(rows.where("id % 2 = 0"), "id", "grams", max_share=0.1)
-    w = blocking.tfidf_weights(rows, "id", "grams", vocabulary)
-    return blocking.cosine_candidates(w.where("id % 2 = 1").withColumnRenamed("id", "query_id"), w.where("id % 2 = 0").withColumnRenamed("id", "s1_id"), digits=6)
+    return similar_parts(rows, 0.1)
 
 
 @query(f"""WITH {PASS_A}, names AS (SELECT p_partkey AS id, lower(p_name) AS name, p_size AS n FROM part),

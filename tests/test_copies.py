@@ -53,3 +53,7 @@ def test_weights_of_copies(spark):
 
 def test_weights_are_not_broadcast(spark):
     assert set(joins(catalogue.QUERIES["tfidf_weights"](spark, SMALL))) == {"SortMergeJoin"}
+
+
+def test_pair_table_does_not_broadcast_records(spark):
+    assert set(joins(catalogue.QUERIES["pair_table"](spark, SMALL))) == {"SortMergeJoin"}
