@@ -57,3 +57,19 @@ def test_weights_are_not_broadcast(spark):
 
 def test_pair_table_does_not_broadcast_records(spark):
     assert set(joins(catalogue.QUERIES["pair_table"](spark, SMALL))) == {"SortMergeJoin"}
+
+
+@pytest.mark.parametrize("name", ["pair_table", "pass_c_topk", "pass_c_full_text", "pass_union", "pass_overlap", "coverage_check"])
+def test_passes_of_copies(spark, tmp_path, name):
+    """Two copies of each part under other keys: the rows of the SQL, by joins that merge."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table part as select * replace (p_partkey + 2000 * i as p_partkey) from '/root/testdata/sf0.01/part.parquet', range(2) r(i)")
+    con.execute(f"copy part to '{tmp_path}/part.parquet' (format parquet)")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert set(joins(df)) == {"SortMergeJoin"}
+    if name in catalogue.ORACLES:
+        columns = sorted(df.columns)
+        want = con.execute("select " + ", ".join(f'"{c}"' for c in columns) + f" from ({catalogue.ORACLES[name]})").fetchall()
+        assert want and counted(df, *columns) == Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in want)
